@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tracewell.llm import quality_rules
+from tracewell.llm import bpe, quality_rules, secret_scan, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_bpe": bpe.op2_bpe,
+        "op5_warc": warc.op5_warc,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op5_warc": warc.ORACLE}
