@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tracewell.llm import bpe, quality_rules, secret_scan, warc
+from tracewell.llm import bpe, decontaminate, quality_rules, secret_scan, token_codes, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_bpe": bpe.op2_bpe,
+        "op4_token_codes": token_codes.op4_token_codes,
         "op5_warc": warc.op5_warc,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_secret_scan": secret_scan.op8_secret_scan,
     }
 
