@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import bpe, decontaminate, language_id, quality_rules, secret_scan, token_codes, toxicity, warc
+from tracewell.llm import bpe, decontaminate, language_id, quality_rules, secret_scan, similarity_join, token_codes, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_secret_scan": secret_scan.op8_secret_scan,
+        "op9_similarity_join": similarity_join.op9_similarity_join,
         "op10_language_id": language_id.op10_language_id,
     }
 
