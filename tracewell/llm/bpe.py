@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tracewell.llm._shared import table
 
@@ -307,7 +308,7 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns keep, and ids: an array of the text's token ids."""
     path = path or default_path()
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -346,25 +347,29 @@ def _bounded(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 4 *
             yield batch.slice(a, b - a)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each text, decode the ids, and return digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode each text, decode the ids, and return digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
     path = path or default_path()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if with_ids:
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in _bounded(batches, "text"):
-            n, coded, plain = [], [], []
+            n, coded, plain, every = [], [], [], []
             for ids in enc.encode_texts([t or "" for t in batch.column("text").to_pylist()]):
                 listed = ids.tolist()
+                every += [ids] * with_ids
                 n.append(len(listed))
                 coded.append(hashlib.sha256(b",".join(map(enc.decimals.__getitem__, listed))).hexdigest())
                 plain.append(hashlib.sha256(enc.decode(listed).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
+            if with_ids:
+                ends = np.cumsum([0, *n]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(every).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
