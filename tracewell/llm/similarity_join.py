@@ -305,14 +305,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = classes(docs, id_col, text_col, n, percent)
     known = every.where("id IS NOT NULL AND n_shingles > 0")
-    # One row a class; copies meet within their tasks first.
-    one = known.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_rows"), F.first("keys").alias("keys"))
-    one = staged(one, "unique")
+    # The first id of each class with copies; copies meet within their tasks first.
+    copies = known.groupBy("same").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").drop("n_rows")
+    copies = staged(copies, "copies")
+    first = staged(spread_join(known.select("id", "same"), copies, "same", "id").select("id", "same", F.coalesce("first_id", "id").alias("first_id")), "first")
+    # Keys of one row a class: the others are taken out by their ids.
+    others = first.where("id <> first_id").select("id", "same").distinct()
+    few = others.limit(ID_ROWS + 1).count() <= ID_ROWS
+    one = known.join(F.broadcast(others) if few else others, ["id", "same"], "left_anti")
     shared = one.select(F.explode("keys").alias("key"), "id").repartition(n_parts, "key").sortWithinPartitions("key", "id").mapInArrow(_chains, "u long, v long")
     stars = components(shared, "blocks")
     members = staged(stars.select(F.col("u").alias("id"), F.col("v").alias("block")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("block"))).distinct(), "members")
     joined = components(links(docs, members, id_col, text_col, n, percent, cell), "linked")
-    copies = staged(one.where("n_rows > 1").select("same", F.col("id").alias("first_id")), "copies")
     out = spread_join(every.select("id", "n_shingles", "same"), copies, "same", "id").select(
         "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first_id", "id")).otherwise(F.col("id")).alias("u")
     )
