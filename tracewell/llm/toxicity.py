@@ -198,7 +198,8 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     model = Model()
     if len(set(labels)) < 2:
         return model
-    split, labels = _without_copies([tokens(t) for t in texts], labels)
+    shared: dict[str, str] = {}  # one object a word: the lists then hold references only
+    split, labels = _without_copies([[shared.setdefault(w, w) for w in tokens(t)] for t in texts], labels)
     count, docs = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
     for words, y in zip(split, labels, strict=True):
         own = Counter(words)
