@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracewell.llm import bpe, decontaminate, language_id, quality_rules, secret_scan, similarity_join, token_codes, toxicity, warc
+from tracewell.llm import bpe, decontaminate, language_id, quality_rules, secret_scan, similarity_join, suffix_dedup, token_codes, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_bpe": bpe.op2_bpe,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_token_codes": token_codes.op4_token_codes,
         "op5_warc": warc.op5_warc,
         "op6_toxicity": toxicity.op6_toxicity,
