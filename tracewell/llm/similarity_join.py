@@ -38,7 +38,7 @@ WORDS, PERCENT = 3, 90
 CELL = 20_000
 #: Ids up to which a list of them is sent to all tasks.
 ID_ROWS = 1_000_000
-#: Edges a task holds before it sends on the forest they span.
+#: Edges a task holds before it sends on the forest they span, and edges that one task settles.
 HELD_EDGES = 500_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -155,13 +155,25 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _edge_batch(forest.edges())
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all edges of a partition."""
+    forest = Forest()
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            forest.join(u, v)
+    yield _edge_batch(forest.edges())
+
+
+def components(edges: DataFrame, label: str = "components", few: int = HELD_EDGES) -> DataFrame:
     """(u, v) for each node but the smallest of its component, v being that smallest; edges has columns u and v.
 
-    Alternating large and small stars; a hub's edges are spread over tasks.
+    Edges that are counted to be few are settled by one task; more than that by alternating large and small stars,
+    where a hub's edges are spread over tasks.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = staged(now, label), None
+    if now.limit(few + 1).count() <= few:
+        return staged(now.repartition(1).mapInArrow(_forest, "u long, v long"), label)
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
