@@ -3,8 +3,9 @@
 1. A document's set is its distinct hashed shingles. Equal sets are one class from here on: copies cost nothing.
 2. Classes that can reach the threshold are brought together. Sizes fall into levels whose ends are a factor of
    the threshold apart; linked sets meet in the level of the larger one. There they differ in at most D shingles,
-   so of D + 1 slices of the hash range one at least is equal in both, and its sum is a shared key. Such keys are
-   far rarer than shingles: common passages alone bring nothing together.
+   so of the slices of the hash range all but D are equal in both, and the sum over a slice is a shared key. Of its
+   keys a class uses only the D + 1 that fewest classes have (the others are the long lists that can be set aside):
+   what common passages share is set aside with them, and brings nothing together.
 3. Classes that share keys, directly or in chains, form a block. Within a block a T-occurrence search finds every
    link: inverted lists by shingle, the short ones merged, the long ones (T - 1 at most, so nothing is missed)
    probed by binary search for the candidates that are left, and those reaching the overlap are kept.
@@ -29,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracewell.llm._shared import spread_join, staged, table
 
 #: Words of a shingle and the threshold in percent.
 WORDS, PERCENT = 3, 90
 #: Classes that one task searches at a time.
-CELL = 20_000
+CELL = 4_000
 #: Ids up to which a list of them is sent to all tasks.
 ID_ROWS = 1_000_000
 #: Edges a task holds before it sends on the forest they span, and edges that one task settles.
@@ -91,20 +93,28 @@ class Levels:
         return int(np.searchsorted(self.low, n, "right")) - 1
 
 
-def keys(h: np.ndarray, levels: Levels) -> np.ndarray:
-    """The keys of a set (sorted hashes): one for each slice, in its own level and the next."""
+def keys(h: np.ndarray, levels: Levels) -> list[tuple[int, np.ndarray]]:
+    """For a set (sorted hashes), in its own level and the next: how many more keys than its own it may use, and its keys.
+
+    A fifth more slices than could differ are cut. Linked sets agree in all but D of the slices that hold something,
+    so, in any one order of keys, they meet among the first D + 1 of each (prefix filter). A set with fewer such
+    slices keeps all its keys, those of its empty slices too: two such sets may share nothing else.
+    """
+    out = []
     if not len(h):
-        return np.zeros(0, np.int64)
+        return out
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h), dtype=np.uint64)])
     top = h >> np.uint64(32)
-    out = []
     own = levels.of(len(h))
     for level in (own, own + 1):
-        k = levels.slices[level]
+        need = levels.slices[level]
+        k = need + need // 5 + 2 if need > 1 else 1
         cuts = np.searchsorted((top * np.uint64(k)) >> np.uint64(32), np.arange(k + 1))
-        part = sums[cuts[1:]] - sums[cuts[:-1]]
-        out.append(_mix(part + np.arange(k, dtype=np.uint64) * _A + np.uint64((level + 1) * int(_C) & 0xFFFFFFFFFFFFFFFF)))
-    return np.concatenate(out).view(np.int64)
+        part = _mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.arange(k, dtype=np.uint64) * _A + np.uint64((level + 1) * int(_C) & 0xFFFFFFFFFFFFFFFF))
+        full = cuts[1:] > cuts[:-1]
+        part = part[full] if full.sum() >= need else part
+        out.append((need - len(part) if full.sum() >= need else k, part.view(np.int64)))
+    return out
 
 
 class Forest:
@@ -266,17 +276,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, levels = _WordHashes(), Levels(percent)
         for batch in batches:
-            size, same, found = [], [], []
+            size, same, found, spare, lows = [], [], [], [], []
             for t in batch.column("text"):
                 h = shingles(t.as_py(), hashes, n)
                 size.append(len(h))
                 same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                found.append(keys(h, levels))
+                own = keys(h, levels) or [(0, np.zeros(0, np.int64))] * 2
+                found.append(np.concatenate([x for _, x in own]))
+                spare.append([x for x, _ in own])
+                lows.append(len(own[0][1]))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), rows], names=["id", "n_shingles", "same", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), rows, pa.array(lows, pa.int32()), pa.array(spare, pa.list_(pa.int32()))], names=["id", "n_shingles", "same", "keys", "n_low", "spare"])
 
-    return staged(docs.mapInArrow(run, "id long, n_shingles long, same binary, keys array<long>"), "classes")
+    return staged(docs.mapInArrow(run, "id long, n_shingles long, same binary, keys array<long>, n_low int, spare array<int>"), "classes")
 
 
 def links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
@@ -325,7 +338,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = first.where("id <> first_id").select("id", "same").distinct()
     few = others.limit(ID_ROWS + 1).count() <= ID_ROWS
     one = known.join(F.broadcast(others) if few else others, ["id", "same"], "left_anti")
-    shared = one.select(F.explode("keys").alias("key"), "id").repartition(n_parts, "key").sortWithinPartitions("key", "id").mapInArrow(_chains, "u long, v long")
+    every_key = one.select("id", "n_low", "spare", F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("at") >= F.col("n_low")).cast("int").alias("level"), "spare")
+    every_key = every_key.select("key", "id", "level", F.get("spare", F.col("level")).alias("spare"))
+    # How many classes have a key; those that one class has alone bring nothing together, but count as the rarest.
+    rare = every_key.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1")
+    # Of each class and level the rarest D + 1: spare is that number less all of its keys.
+    rare = rare.groupBy("id", "level").agg(F.first("spare").alias("spare"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"))
+    rare = rare.where(F.size("k") + F.col("spare") > 0).select("id", F.explode(F.slice("k", F.lit(1), F.size("k") + F.col("spare"))["key"]).alias("key"))
+    shared = rare.repartition(n_parts, "key").sortWithinPartitions("key", "id").mapInArrow(_chains, "u long, v long")
     stars = components(shared, "blocks")
     members = staged(stars.select(F.col("u").alias("id"), F.col("v").alias("block")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("block"))).distinct(), "members")
     joined = components(links(docs, members, id_col, text_col, n, percent, cell), "linked")
