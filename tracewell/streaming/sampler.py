@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -85,8 +86,8 @@ class Sampler:
             return
         # A span that comes after its trace was decided on opens the trace anew, without what was decided before.
         last = done.groupBy("trace_id").agg(F.max("batch").alias("last_batch"))
-        pending = self._read(spark, "spans", SPAN.add("batch", "long") if "batch" not in SPAN.names else SPAN).join(last, "trace_id", "left")
-        pending = pending.where(F.col("last_batch").isNull() | (F.col("batch") > F.col("last_batch"))).select(*[f.name for f in SPAN if f.name != "batch"])
+        pending = self._read(spark, "spans", _STAGED).join(last, "trace_id", "left")
+        pending = pending.where(F.col("last_batch").isNull() | (F.col("batch") > F.col("last_batch"))).select(*SPAN.names)
         exported = done.where((F.col("decision") == "keep") & (F.col("expires_at_ms") > now)).select("trace_id")
         decided = decide(pending, now, self.config, self.rules(), exported).where("decision <> 'pending'")
         out = decided.select("trace_id", "decision", F.lit(now).alias("decided_at_ms"), F.lit(now + self.config.dedup.ttl_secs * 1000).alias("expires_at_ms"))
@@ -110,6 +111,8 @@ class Sampler:
         return self._read(spark, "decided", "trace_id string, decision string, decided_at_ms long, expires_at_ms long, batch long")
 
 
+_STAGED = T.StructType([*SPAN.fields, T.StructField("batch", T.LongType())])
+
 SESSION = "trace_id string, span_count long, error_count long, max_duration_ms long, min_timestamp_ms long, max_timestamp_ms long, has_root boolean, reason string"
 _STATE = "span_count long, error_count long, max_duration_ms long, min_timestamp_ms long, max_timestamp_ms long, has_root boolean"
 
