@@ -111,7 +111,7 @@ class Model:
             for h in ngrams(joined):
                 own = used[: len(h)]
                 for k, weights in enumerate(self.table):
-                    sums = np.add.reduceat(np.where(own, weights[h], 0.0), np.minimum(starts, len(h) - 1))
+                    sums = np.add.reduceat(np.where(own, weights[h], 0.0), np.minimum(starts, len(h) - 1), dtype=np.float64)
                     np.add.at(out[:, k], owner, sums)
             np.add.at(n, owner, (sizes - 2) * len(SIZES))
 

@@ -140,15 +140,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of text_col replaced by mask; a null text stays null, other columns stay as they are."""
     text = F.col(text_col)
-    found = secret_spans(docs, text_col, "_base", "_entropy").withColumn("_all", F.array_sort(F.concat("_base", "_entropy")))
+    # Names of our own that no column of docs has, in any case.
+    base, more, every = "_base", "_entropy", "_all"
+    while {base, more, every} & {c.lower() for c in docs.columns}:
+        base, more, every = base + "_", more + "_", every + "_"
+    found = secret_spans(docs, text_col, base, more).withColumn(every, F.array_sort(F.concat(base, more)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(a, x):
         kept = F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], x["stop"]).alias("at"), kept.alias("out"))
 
-    clean = F.aggregate("_all", start, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_all") > 0, clean).otherwise(text)).drop("_base", "_entropy", "_all")
+    clean = F.aggregate(every, start, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(every) > 0, clean).otherwise(text)).drop(base, more, every)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
