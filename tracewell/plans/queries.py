@@ -529,13 +529,13 @@ for _name, _text in _STATEMENTS.items():
 
 def _finished(spark: SparkSession, d: str) -> DataFrame:
     """What a drained stream decides, from one micro-batch of all spans."""
-    from pathlib import Path
     from tempfile import mkdtemp
+    from uuid import uuid4
 
     from tracewell.streaming.sampler import Sampler
 
     root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{mkdtemp(prefix='tracewell-stream-')}").rstrip("/")
-    sampler = Sampler(f"{root}/stream-{Path(d).name}-{spark.sparkContext.applicationId}-{id(object())}", Config(app=APP))
+    sampler = Sampler(f"{root}/stream-{uuid4().hex}", Config(app=APP))
     sampler.process(_spans(spark, d), 0)
     return sampler.decisions(spark).select("trace_id", "decision")
 
