@@ -39,8 +39,8 @@ GRAM = 64
 HOT = 20_000
 #: Bytes of texts whose anchors are found in one go.
 BLOCK = 4_000_000
-#: Documents up to which the spans of all of them are sent to every task.
-SPAN_ROWS = 300_000
+#: Documents, and entries of their lists, up to which lists are sent to every task.
+LIST_ROWS, LIST_ENTRIES = 200_000, 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = 0xFFFFFFFFFFFFFFFF
@@ -343,6 +343,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(did), pa.array(rid), pa.array(lo[row] + start, pa.int32())], names=["window", "did", "rid", "a"])
 
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted spans of each document as maximal runs."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in batches:
+        out = []
+        for found in batch.column("spans").to_pylist():
+            runs: list[dict[str, int]] = []
+            for x in found:
+                if runs and x["a"] <= runs[-1]["b"]:
+                    runs[-1]["b"] = max(runs[-1]["b"], x["b"])
+                else:
+                    runs.append(x)
+            out.append(runs)
+        yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(out, kind)], names=["did", "rid", "spans"])
+
+
 def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """did, rid and spans (arrays of start and stop) of documents with repeats; rows: did, rid, text."""
     spark = rows.sparkSession
@@ -364,12 +380,14 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
         whole = whole.unionByName(more)
     shared = contexts.repartition(n, "key").sortWithinPartitions("key", "did", "rid", "lo").mapInArrow(_compare, "did long, rid long, a int, b int")
     spans = whole.unionByName(shared).groupBy("did", "rid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    return staged(spans, "spans")
+    return staged(spans.mapInArrow(_merge_spans, "did long, rid long, spans array<struct<a:int,b:int>>"), "spans")
 
 
 def _with_text(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """rows with what lists holds for them; a counted, small lists goes to every task, else both sides are shuffled."""
-    few = lists.limit(SPAN_ROWS + 1).count() <= SPAN_ROWS
+    (column,) = set(lists.columns) - {"did", "rid"}
+    size = lists.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(column)).alias("entries")).first()
+    few = size["rows"] <= LIST_ROWS and (size["entries"] or 0) <= LIST_ENTRIES
     # An id and text that occur twice are two rows of rows, but one of lists.
     return rows.join(F.broadcast(lists) if few else lists, ["did", "rid"], how)
 
