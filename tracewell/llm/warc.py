@@ -192,7 +192,9 @@ def write_archives(records: DataFrame, root: str, frame_bytes: int = FRAME_BYTES
 
 def read_archives(index: DataFrame, root: str) -> DataFrame:
     """Every record of the bundles that index names, frame by frame; intact: the stored payload has its digest."""
-    frames = index.select("bundle", "frame", "frame_at", "frame_bytes").distinct()
+    # Rows are few bytes for many that they stand for, so the number of tasks is given, not left to their size.
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frames = index.select("bundle", "frame").distinct().repartition(n, "bundle", "frame")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
