@@ -315,6 +315,34 @@ def test_entropy(spark):
     assert secret_scan.redact(df.withColumn("_base", F.lit(1))).orderBy("doc_id").first().text == "key [SECRET] end"
 
 
+def _spared(spark, keys):
+    """The share of the keys that no entropy span covers."""
+    df = spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate(keys)], "doc_id long, text string")
+    return secret_scan.scan(df).where("spans NOT LIKE '%entropy%'").count() / len(keys)
+
+
+def _keys(rng, chars, n, before="", k=400):
+    """Random keys with a digit; without one they are taken for words."""
+    return [before + w for w in ("".join(rng.choices(chars, k=n)) for _ in range(k)) if re.search("[0-9]", w)]
+
+
+LOW, UP, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize(
+    ("chars", "n", "before"),
+    [(DIGITS + UP[:6], 32, "ID-"), (DIGITS + UP[:6], 40, "SN_"), (DIGITS + LOW, 24, "sk_live_"), (DIGITS + LOW, 20, ""), (DIGITS + UP, 32, ""), (DIGITS + LOW + UP, 24, "id="), (DIGITS + LOW + UP + "-_", 40, "")],
+)
+def test_random_keys(spark, chars, n, before):
+    # 20-character keys have one window only, and one in a hundred is under its limit.
+    assert _spared(spark, _keys(random.Random(17), chars, n, before)) < (0.03 if n == 20 else 0.015)
+
+
+def test_windows_of_one_kind(spark):
+    """Words and numbers on either side of a sign are no keys."""
+    assert _spared(spark, ["invoice-2000003333444455", "internationalization_of_2", "0" * 30 + "a", "9021090210-9021090211-x", "abcabcabcabcabcabcabc1"]) == 1
+
+
 def _groups(texts, n, percent):
     def shingles(t):
         w = [x for x in re.split(r"[ \t-\r]+", _lower(t)) if x]

@@ -1,4 +1,5 @@
-"""Secret scans: three fixed patterns, and strings whose sliding-window entropy is high for their character class.
+"""Secret scans: three fixed patterns, and strings with a sliding window whose entropy is high for the
+window's character class.
 
 Only DataFrame functions run on the main path, and no row is shuffled. Places come from cutting a text at a
 pattern: what lies between the matches and the matches themselves, in turn, make up the text. Only texts that
@@ -22,8 +23,9 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Characters in the window over which entropy is taken.
 WINDOW = 20
-#: Entropy in bits from which a window of a class is suspect, from the narrowest class up.
-LIMITS = (("digits", r"^[0-9]+$", 9.0), ("hex", r"^[0-9A-Fa-f]+$", 3.1), ("alnum", r"^[A-Za-z0-9]+$", 3.9), ("base64", r"^[A-Za-z0-9+/_=-]+$", 4.0))
+#: Entropy in bits from which a window of a class is suspect, from the narrowest class up; 99 of 100 random windows
+#: of 16, 36, 62 and 64 characters reach it. A window without a letter or without a digit is in no class.
+LIMITS = {"hex": 2.9, "one case": 3.4, "alnum": 3.64, "base64": 3.64}
 #: Candidates that are never reported: words (no digit, or no letter), file paths, UUIDs, and documented examples.
 ALLOW = (
     r"^[^0-9]*$",
@@ -57,14 +59,25 @@ def _weight(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def peak_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The highest entropy in bits of any window of s, from counts that change by one character in and one out.
+#: Kinds of characters that tell the classes of windows apart.
+_MARKS = {"digit": "0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "beyond": "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ", "sign": "+/_=-"}
+
+
+def _limit(has: dict[str, Column]) -> Column:
+    """The limit of a window that has such characters; null if it is in no class."""
+    kind = F.when(has["sign"], LIMITS["base64"]).when(~has["beyond"], LIMITS["hex"]).when(has["lower"] & has["upper"], LIMITS["alnum"]).otherwise(LIMITS["one case"])
+    return F.when(has["digit"] & (has["lower"] | has["upper"]), kind)
+
 
-    H = log2 w - (sum of c log2 c) / w; the sum is carried from window to window. Shorter strings: 0.
+def _slide(s: Column, window: int, first: float, height) -> Column:
+    """The most that height(entropy, has) comes to over the windows of s, first at least.
+
+    H = log2 w - (sum of c log2 c) / w; the sum is carried from window to window, by counts that change by one
+    character in and one out. has tells by kind of character whether the window has one, from where it last stood.
     """
     codes = F.transform(F.split(s, ""), lambda c: F.ascii(c))
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("i")
+        F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(first).alias("peak"), F.lit(0).alias("i"), *[F.lit(-window).alias(m) for m in _MARKS]
     )
 
     def slide(a, code):
@@ -77,26 +90,31 @@ def peak_entropy(s: Column, window: int = WINDOW) -> Column:
         )
         total = a["sum"] + moved
         n = F.transform(a["n"], lambda c, k: c + F.when(k == code, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
-        h = F.log2(F.lit(float(window))) - total / F.lit(float(window))
+        last = {m: F.when(code.isin([ord(c) for c in chars]), a["i"]).otherwise(a[m]) for m, chars in _MARKS.items()}
+        h = height(F.log2(F.lit(float(window))) - total / F.lit(float(window)), {m: at > a["i"] - window for m, at in last.items()})
         return F.struct(
             n.alias("n"),
             total.alias("sum"),
             F.when((a["i"] >= window - 1) & (h > a["peak"]), h).otherwise(a["peak"]).alias("peak"),
             (a["i"] + 1).alias("i"),
+            *[at.alias(m) for m, at in last.items()],
         )
 
     return F.aggregate(codes, start, slide, lambda a: a["peak"])
 
 
+def peak_entropy(s: Column, window: int = WINDOW) -> Column:
+    """The highest entropy in bits of any window of s. Shorter strings: 0."""
+    return _slide(s, window, 0.0, lambda h, has: h)
+
+
 def _suspect(hit: Column) -> Column:
-    """hit's peak entropy reaches the limit of its class, and no allow-list entry covers it."""
+    """A window of hit reaches the limit of its class, and no allow-list entry covers hit."""
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | hit.rlike(pattern)
-    limit = F.lit(LIMITS[-1][2])
-    for _, pattern, bits in reversed(LIMITS[:-1]):
-        limit = F.when(hit.rlike(pattern), F.lit(bits)).otherwise(limit)
-    return F.when(allowed, F.lit(False)).otherwise(peak_entropy(hit) >= limit)
+    # The carried sum is off by rounding.
+    return F.when(allowed, F.lit(False)).otherwise(_slide(hit, WINDOW, -9.0, lambda h, has: h - _limit(has)) >= -1e-9)
 
 
 def secret_spans(docs: DataFrame, text_col: str = "text", base: str = "_base", more: str = "_entropy") -> DataFrame:
