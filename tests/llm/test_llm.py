@@ -343,6 +343,20 @@ def test_windows_of_one_kind(spark):
     assert _spared(spark, ["invoice-2000003333444455", "internationalization_of_2", "0" * 30 + "a", "9021090210-9021090211-x", "abcabcabcabcabcabcabc1"]) == 1
 
 
+@pytest.mark.parametrize(("n", "before", "after"), [(40, "/v1/keys/", ""), (40, "com/v1/keys/", "/versions/2"), (40, "xxxx", ""), (40, "", "-1234567-x"), (40, "example-", ""), (64, "", "="), (40, "", "")])
+def test_keys_in_paths(spark, n, before, after):
+    signs = "" if before or after and n == 40 else "+/"
+    assert _spared(spark, [k + after for k in _keys(random.Random(19), DIGITS + LOW + UP + signs, n, before)]) < 0.015
+
+
+def test_allowed(spark):
+    known = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "1234567890abcdefghij", "example-key-1234567890-xxxxxxxx", "/usr/share/doc/2024-report_v2/MyFileName3", "src/main/java/com/acme2/util/StringHelper"]
+    ids = ["123e4567-e89b-12d3-a456-426614174000", "/users/123e4567-e89b-12d3-a456-426614174000/profile", "id_9f1c2b7e-05d4-4a86-b3e9-7c60d8f52a1b"]
+    assert _spared(spark, known + ids) == 1
+    long = ["=" * 30_000, "a1/" * 10_000, "1234567-" * 4_000, "/x/" + "ab-" * 10_000, "/x/y/" + "Abc" * 10_000]
+    assert _spared(spark, long) == 1
+
+
 def _groups(texts, n, percent):
     def shingles(t):
         w = [x for x in re.split(r"[ \t-\r]+", _lower(t)) if x]

@@ -26,14 +26,18 @@ WINDOW = 20
 #: Entropy in bits from which a window of a class is suspect, from the narrowest class up; 99 of 100 random windows
 #: of 16, 36, 62 and 64 characters reach it. A window without a letter or without a digit is in no class.
 LIMITS = {"hex": 2.9, "one case": 3.4, "alnum": 3.64, "base64": 3.64}
-#: Candidates that are never reported: words (no digit, or no letter), file paths, UUIDs, and documented examples.
+#: Groups repeat possessively, which takes no stack however long a candidate is.
+#: Candidates that are never reported: documented examples, as a whole or by how they end.
 ALLOW = (
-    r"^[^0-9]*$",
-    r"^[^A-Za-z]*$",
-    r"^/?([A-Za-z0-9_.-]*[a-z][A-Za-z0-9_.-]*/){2,}[A-Za-z0-9_.-]*$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"EXAMPLE|example|xxxx|XXXX|0000000|1234567",
+    r"^(?:EXAMPLE|example|KEY|key|x{4,}|X{4,}|0{7,}|0?1234567(?:89?)?0?|abcdef(?:ghij)?|ABCDEF(?:GHIJ)?|[-_=/+]+)++$",
+    r"(?:EXAMPLE|example)[-_]?(?:KEY|key)?=*$",
 )
+#: Within a candidate, no window reaches into a UUID.
+UUID = r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])"
+#: What has the shape of a file path, and those of its segments that are words and numbers: no window reaches into them.
+PATH = r"^/?(?:[A-Za-z0-9_.-]*[a-z][A-Za-z0-9_.-]*/){2,}+[A-Za-z0-9_.-]*$"
+_PIECE = r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*+|[A-Z]+)?[0-9]{0,8}"
+SEGMENT = rf"(?<![^/]){_PIECE}(?:[-_=]{_PIECE})*+(?![^/])"
 
 _KINDS = ("assign", "access", "hex", "entropy")
 _NONE = "CAST(array() AS array<struct<start:int,kind:int,stop:int,hit:string>>)"
@@ -76,12 +80,15 @@ def _slide(s: Column, window: int, first: float, height) -> Column:
     character in and one out. has tells by kind of character whether the window has one, from where it last stood.
     """
     codes = F.transform(F.split(s, ""), lambda c: F.ascii(c))
+    # Each character beside the one that leaves as it comes, so that no step looks into the whole string.
+    left = F.slice(F.concat(F.array_repeat(F.lit(-1), window), codes), F.lit(1), F.size(codes))
+    steps = F.zip_with(codes, left, lambda c, g: F.struct(c.alias("code"), g.alias("gone")))
     start = F.struct(
         F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(first).alias("peak"), F.lit(0).alias("i"), *[F.lit(-window).alias(m) for m in _MARKS]
     )
 
-    def slide(a, code):
-        gone = F.when(a["i"] >= window, F.get(codes, a["i"] - window)).otherwise(F.lit(-1))
+    def slide(a, x):
+        code, gone = x["code"], x["gone"]
         was_in = F.get(a["n"], code)
         # A character that comes and goes in one step leaves the counts as they are.
         was_out = F.coalesce(F.get(a["n"], gone), F.lit(0))
@@ -100,7 +107,7 @@ def _slide(s: Column, window: int, first: float, height) -> Column:
             *[at.alias(m) for m, at in last.items()],
         )
 
-    return F.aggregate(codes, start, slide, lambda a: a["peak"])
+    return F.aggregate(steps, start, slide, lambda a: a["peak"])
 
 
 def peak_entropy(s: Column, window: int = WINDOW) -> Column:
@@ -109,12 +116,15 @@ def peak_entropy(s: Column, window: int = WINDOW) -> Column:
 
 
 def _suspect(hit: Column) -> Column:
-    """A window of hit reaches the limit of its class, and no allow-list entry covers hit."""
+    """A window of hit reaches the limit of its class, and no allow-list entry covers hit or cuts into the window."""
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | hit.rlike(pattern)
+    left = F.regexp_replace(hit, UUID, " ")
+    left = F.when(hit.rlike(PATH), F.regexp_replace(left, SEGMENT, " ")).otherwise(left)
     # The carried sum is off by rounding.
-    return F.when(allowed, F.lit(False)).otherwise(_slide(hit, WINDOW, -9.0, lambda h, has: h - _limit(has)) >= -1e-9)
+    keys = F.exists(F.split(left, " "), lambda s: (F.length(s) >= WINDOW) & s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (_slide(s, WINDOW, -9.0, lambda h, has: h - _limit(has)) >= -1e-9))
+    return F.when(allowed, F.lit(False)).otherwise(keys)
 
 
 def secret_spans(docs: DataFrame, text_col: str = "text", base: str = "_base", more: str = "_entropy") -> DataFrame:
