@@ -396,6 +396,31 @@ def test_similarity_join(spark, n, percent, cell):
     assert kept == {c for _, c in got.values()}
 
 
+@pytest.mark.parametrize("n_family", [3, 40])
+def test_similarity_join_texts_of_one_id(spark, n_family):
+    """Rows of one id with different texts are one node, whichever of them is linked."""
+    rng = random.Random(23)
+    small, *large = ([f"{c}{rng.randint(0, 10**6)}" for _ in range(k)] for c, k in (("s", 60), *[("l", 800)] * 8))
+
+    def near(base, k):
+        own = base[:]
+        for i in rng.sample(range(len(own)), k):
+            own[i] = f"new{rng.randint(0, 10**6)}"
+        return " ".join(own)
+
+    rows = [(i, near(small, 1)) for i in range(n_family)]
+    for j, base in enumerate(large):
+        rows += [(500 + j, near(base, 3)), (500 + j, near(small, 1)), (600 + j, near(base, 3))]
+    rows += [(700, "a b c d e f"), (701, "a b c d e f"), (701, "g h i j k l"), (702, "g h i j k l m n o p"), (703, "q r s t u v"), (703, "w x y z")]
+    want, groups = {i: i for i, _ in rows}, _groups([t for _, t in rows], 5, 80)
+    for _ in rows:
+        for (i, _), (_, c) in zip(rows, groups, strict=True):
+            a, b = want[i], want[rows[c][0]]
+            want = {k: min(a, b) if v in (a, b) else v for k, v in want.items()}
+    got = similarity_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), n=5, percent=80).collect()
+    assert sorted((r.id, r.component_id) for r in got) == sorted((i, want[i]) for i, _ in rows)
+
+
 def test_similarity_join_small_table(spark, small, rows):
     rows = rows.sort_values("doc_id").reset_index(drop=True)
     got = similarity_join.op9_similarity_join(spark, small).toPandas().set_index("doc_id")

@@ -338,8 +338,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = first.where("id <> first_id").select("id", "same").distinct()
     few = others.limit(ID_ROWS + 1).count() <= ID_ROWS
     one = known.join(F.broadcast(others) if few else others, ["id", "same"], "left_anti")
-    every_key = one.select("id", "n_low", "spare", F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("at") >= F.col("n_low")).cast("int").alias("level"), "spare")
-    every_key = every_key.select("key", "id", "level", F.get("spare", F.col("level")).alias("spare"))
+    # Texts of one id are classes of their own: the nth of an id has levels 2 n and 2 n + 1.
+    several = known.groupBy("id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("id")
+    several = known.select("id", "same").join(several, "id", "left_semi").distinct().withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("same")))
+    several = staged(several, "several")
+    few_several = several.limit(ID_ROWS + 1).count() <= ID_ROWS
+    one = one.join(F.broadcast(several) if few_several else several, ["id", "same"], "left")
+    level = 2 * F.coalesce("nth", F.lit(0)) + (F.col("at") >= F.col("n_low")).cast("int")
+    every_key = one.select("id", "nth", "n_low", "spare", F.posexplode("keys").alias("at", "key")).select("key", "id", level.alias("level"), "spare")
+    every_key = every_key.select("key", "id", "level", F.get("spare", F.col("level") % 2).alias("spare"))
     # How many classes have a key; those that one class has alone bring nothing together, but count as the rarest.
     rare = every_key.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1")
     # Of each class and level the rarest D + 1: spare is that number less all of its keys.
@@ -348,7 +355,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rare.repartition(n_parts, "key").sortWithinPartitions("key", "id").mapInArrow(_chains, "u long, v long")
     stars = components(shared, "blocks")
     members = staged(stars.select(F.col("u").alias("id"), F.col("v").alias("block")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("block"))).distinct(), "members")
-    joined = components(links(docs, members, id_col, text_col, n, percent, cell), "linked")
+    # An id with several texts joins all that their copies stand for.
+    bridges = first.where("id <> first_id").join(F.broadcast(several) if few_several else several, "id", "left_semi")
+    found = links(docs, members, id_col, text_col, n, percent, cell).unionByName(bridges.select(F.col("id").alias("u"), F.col("first_id").alias("v")))
+    joined = components(found, "linked")
     out = spread_join(every.select("id", "n_shingles", "same"), copies, "same", "id").select(
         "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first_id", "id")).otherwise(F.col("id")).alias("u")
     )
