@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontaminate, language_id, quality_rules, queries, secret_scan, similarity_join, suffix_dedup, token_codes, toxicity, warc
+from tracewell.llm._shared import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -155,13 +156,75 @@ def test_suffix_dedup_small_table(spark, small, rows):
     assert [tuple(got.loc[i]) for i in rows.doc_id] == want
 
 
-def test_suffix_levels_grow_geometrically():
-    index, rng = suffix_dedup.SuffixIndex(), np.random.default_rng(1)
-    for _ in range(40):
-        index.add({k: rng.integers(0, 1 << 30, 100).astype(np.uint64) for k in ("key", "digest")})
-        sizes = [len(x["key"]) for x in index.levels]
+def _one_text(text, did):
+    rec, _ = suffix_dedup.anchors([text.encode()])
+    rec["did"] = rec["rid"] = did
+    return rec
+
+
+def test_suffixes_are_sorted():
+    rng = random.Random(5)
+    text = "".join(rng.choice("ab\0é") for _ in range(20_000))
+    rec = suffix_dedup.suffix_sorted(_one_text(text, 1))
+    data = text.encode()
+    got = [data[a : a + suffix_dedup.GRAM] for a in rec["at"].tolist()]
+    assert len(got) > 100 and got == sorted(got)
+
+
+def test_merge_scan_by_small_blocks():
+    """Whatever the blocks of the runs, the scan keeps one record of each beginning and reports what a plain count does."""
+    rng = np.random.default_rng(2)
+    rec = np.zeros(600, suffix_dedup._RECORD)
+    rec["key"] = [b"%032d%08d" % (g, d) for g, d in zip(rng.integers(0, 90, 600), rng.integers(0, 4, 600), strict=True)]
+    rec["did"] = np.arange(600)
+    runs = []
+    for k in range(3):
+        own = suffix_dedup.suffix_sorted(rec[k::3])
+        own["old"] = k == 2
+        runs.append([own[i : i + 1 + 6 * k].copy() for i in range(0, len(own), 1 + 6 * k)])
+    whole, part, kept = (np.concatenate(x) for x in zip(*suffix_dedup.merge_scan([iter(r) for r in runs]), strict=True))
+    count = collections.Counter(rec["key"].tolist())
+    kinds = collections.Counter(k[:32] for k in count)
+    assert sorted(whole["did"]) == [i for i, k in enumerate(rec["key"].tolist()) if count[k] > 1]
+    assert sorted(part["key"].tolist()) == sorted(k for k in count if kinds[k[:32]] > 1)
+    young = {k[:32] for i, k in enumerate(rec["key"].tolist()) if i % 3 < 2}
+    assert [k[:32] for k in kept["key"].tolist()] == sorted(young)
+
+
+def test_matches_are_found_in_older_levels(spark):
+    """Levels grow geometrically, and the last batch meets texts of the first one, which lies in an older level."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcde ") for _ in range(6000)) for _ in range(8)]
+    texts[6] = texts[6][:3000] + texts[0][:1000]
+    work = Workspace(spark)
+    index = suffix_dedup.SuffixIndex(work, 3)
+    for k, text in enumerate(texts):
+        rows = spark.createDataFrame([(k, k, text, 0)], "did long, rid long, text string, batch int").mapInArrow(suffix_dedup._find(3), suffix_dedup._ROW)
+        got = index.add(rows, rows.count()).where("kind IN (1, 2)").select("did", "a", "b").collect()
+        sizes = [x[0] for x in index.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-    assert len(index.close()["key"]) == 4000 and (np.diff(index.levels[0]["key"].astype(np.int64)) >= 0).all()
+        if k == 6:
+            assert len(sizes) == 3, "the first text is in the oldest of three levels, which this batch was not merged with"
+            assert {r.did for r in got} == {0, 6} and max(r.b for r in got if r.did == 0) <= 1200 and min(r.a for r in got if r.did == 6) >= 2800
+        else:
+            # The last merge brings the two texts' levels together, and may say so again.
+            assert not {r.did for r in got} - ({0, 6} if k == 7 else set())
+    assert len(index.levels) == 1
+    files = [r.path for r in index.levels[0][1].collect()]
+    level = [np.concatenate(list(suffix_dedup._read_level(f, False))) for f in files]
+    assert sum(map(len, level)) == sizes[0] - len({r["key"][:32] for r in _one_text(texts[0], 0)} & {r["key"][:32] for r in _one_text(texts[6], 6)})
+    assert all((x["key"][1:] >= x["key"][:-1]).all() for x in level)
+    work.close()
+
+
+def test_anchors_use_little_memory():
+    import tracemalloc
+
+    data = np.random.default_rng(1).integers(97, 123, suffix_dedup.BLOCK).astype(np.uint8).tobytes()
+    tracemalloc.start()
+    suffix_dedup.anchors([data])
+    assert tracemalloc.get_traced_memory()[1] < 100 * suffix_dedup.BLOCK
+    tracemalloc.stop()
 
 
 def test_token_codes():

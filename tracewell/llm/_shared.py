@@ -20,23 +20,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only if all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tracewell-shared")
     return root.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) on the driver, for any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; nothing exists there yet."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; nothing exists there yet, and what comes there goes when the application ends."""
+    parent = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, parent)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{parent}/data"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path made by scratch()."""
+    fs, at = _hadoop(spark, path)
+    fs.delete(at.getParent(), True)
+
+
+class Workspace:
+    """Intermediate results of one operator, each computed once and written; close() removes those not wanted any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[str, str] = {}
+
+    def folder(self, name: str) -> str:
+        self._paths[name] = scratch(self.spark, name)
+        return self._paths[name]
+
+    def put(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        path = self.folder(name)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            removed(self.spark, self._paths.pop(name))
+
+    def close(self, keep: tuple[str, ...] = ()) -> None:
+        self.drop(*(set(self._paths) - set(keep)))
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df, computed once and written to the shared folder; a lost executor costs no more than its own tasks."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Workspace(df.sparkSession).put(df, label)
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "left") -> DataFrame:
