@@ -45,7 +45,7 @@ GRAM = 32
 #: Batches that a table of documents is entered in.
 BATCHES = 4
 #: Contexts of a beginning that one task compares.
-HOT = 1_000
+HOT = 20_000
 #: Bytes of texts whose anchors are found in one go; records of an array that a task sorts; records read at a time.
 BLOCK, SORTED, CHUNK = 1_000_000, 200_000, 1 << 14
 #: Documents, and entries of their lists, up to which lists are sent to every task.
@@ -459,6 +459,26 @@ def _span_batch(did: np.ndarray, rid: np.ndarray, start: np.ndarray, stop: np.nd
     return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["did", "rid", "a", "b"])
 
 
+def _repeated_windows(data: list[bytes], offset: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start within it) of windows that occur twice; their hashes are held, all else is worked out a block at a time."""
+
+    def block(a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, start, h = _window_hashes(data[a : a + 2000], offset[a : a + 2000])
+        return row + a, start, _mix(h + gram[a : a + 2000][row])
+
+    starts = range(0, len(data), 2000)
+    every = np.concatenate([block(a)[2] for a in starts])
+    every.sort()
+    twice = np.append(np.unique(every[1:][every[1:] == every[:-1]]), np.uint64(_MASK))
+    rows, places = [], []
+    for a in starts:
+        row, start, h = block(a)
+        hit = twice[np.searchsorted(twice, h)] == h
+        rows.append(row[hit])
+        places.append(start[hit])
+    return np.concatenate(rows), np.concatenate(places)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by beginning: spans of the windows that two contexts of one share."""
     held: list[pa.RecordBatch] = []
@@ -474,11 +494,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while a < len(cuts) - 1:
             b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + 2000, "right")) - 1)
             i, j = int(cuts[a]), int(cuts[b])
-            row, start, h = _window_hashes(data[i:j], at[i:j] - lo[i:j])
-            h = _mix(h + key[i:j].view(np.uint64)[row])
-            _, which, count = np.unique(h, return_inverse=True, return_counts=True)
-            hit = count[which] > 1
-            row, start = row[hit] + i, start[hit]
+            row, start = _repeated_windows(data[i:j], at[i:j] - lo[i:j], key[i:j].view(np.uint64))
+            row += i
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
             first = np.flatnonzero(new)
