@@ -48,8 +48,6 @@ BATCHES = 4
 HOT = 20_000
 #: Bytes of texts whose anchors are found in one go; records of an array that a task sorts; records read at a time.
 BLOCK, SORTED, CHUNK = 1_000_000, 200_000, 1 << 14
-#: Documents, and entries of their lists, up to which lists are sent to every task.
-LIST_ROWS, LIST_ENTRIES = 100_000, 500_000
 
 _MASK = 0xFFFFFFFFFFFFFFFF
 _POSITION = np.uint64((1 << 20) - 1)
@@ -596,12 +594,11 @@ def repeated_spans(rows: DataFrame, hot: int = HOT, batches: int = BATCHES) -> D
 
 
 def _with_text(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """rows with what lists holds for them; a counted, small lists goes to every task, else both sides are shuffled."""
-    (column,) = set(lists.columns) - {"did", "rid"}
-    size = lists.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(column)).alias("entries")).first()
-    few = size["rows"] <= LIST_ROWS and (size["entries"] or 0) <= LIST_ENTRIES
-    # An id and text that occur twice are two rows of rows, but one of lists.
-    return rows.join(F.broadcast(lists) if few else lists, ["did", "rid"], how)
+    """rows with what lists holds for them: both sides are dealt by document, at every size.
+
+    An id and text that occur twice are two rows of rows, but one of lists.
+    """
+    return rows.join(lists.hint("merge"), ["did", "rid"], how)
 
 
 def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
