@@ -83,7 +83,7 @@ def test_empty_tables(spark, empty_dir, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     got, want = queries.queries()[name](spark, small).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     key = got.columns[0]
@@ -322,9 +322,9 @@ def _leaks(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_CHARS, 20])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 12, 30])
 def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
     rng = random.Random(11)
     texts = [" ".join(rng.choice("a b c D Éa x".split()) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "solo", "q a b"]
     items = [(i, " ".join(rng.choice("a b c d Éa".split()) for _ in range(rng.randint(0, 13)))) for i in range(40)] + [(40, texts[0]), (41, None), (42, "solo!")]
@@ -335,6 +335,22 @@ def test_decontamination(spark, monkeypatch, block):
     assert clean.columns == df.columns and decontaminate.find_leaks(clean, bench).where("contaminated").count() == 0
 
 
+def test_benchmark_of_many_blocks_is_held_one_at_a_time(spark):
+    """A benchmark of one long item and many short ones: no block has more words than it may, and one is cached."""
+    items = [("a", " ".join(f"w{i}" for i in range(5000))), *((f"b{k}", f"x{k} y{k} z{k}") for k in range(300)), (None, "no id here")]
+    blocks = decontaminate.phrase_blocks(spark.createDataFrame(items, "item_id string, text string"), block=100)
+    assert len(blocks) > 50
+    sizes = []
+    for path in blocks:
+        block = decontaminate._block(path)
+        sizes.append(len(block.vocabulary))
+        assert decontaminate._block.cache_info().currsize == 1
+    assert max(sizes) <= 100
+    split = [t or "" for t in ["w41 " + " ".join(f"w{i}" for i in range(95, 110)) + " x7 y7 z7 no id here", None]]
+    _, hits, found = decontaminate._hits(blocks, split)
+    assert hits[0].tolist() == [False] + [True] * 21 and found == [{"a", "b7", ""}, set()]
+
+
 def test_decontamination_small_table(spark, small, rows):
     got = decontaminate.op7_decontaminate(spark, small).toPandas().set_index("doc_id")
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]

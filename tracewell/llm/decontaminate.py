@@ -6,32 +6,36 @@ holds the Burrows-Wheeler transform of the runs as a wavelet matrix, whose ranks
 all windows at once; occurrences are located by walking to sampled suffix positions. Places of hits are merged
 into spans.
 
-The benchmark is read in blocks of at most BLOCK_CHARS characters; a larger one means further passes over the
-documents within the same task, not a larger broadcast.
+The benchmark's windows are coded in blocks of at most BLOCK_WORDS words, each a file of the shared folder, written
+by the tasks that read the benchmark. A task searches its shard for one block after another and holds one at a time;
+nothing of the benchmark is sent to the driver or broadcast but the blocks' paths.
 
 Edge cases: a null text has no words; an item of fewer words than a window is one window, an item without words
-has none; items with equal ids count once; repeated rows give repeated results; an empty table on either side
+has none; items with equal ids count once; null ids are one empty id; repeated rows give repeated results; an empty table on either side
 gives no hits; further columns are kept by decontaminate() and ignored elsewhere.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import table
+from tracewell.llm._shared import filesystem, scratch, table
 
 #: Consecutive words of a window.
 WINDOW = 10
-#: Characters of benchmark text that are searched in one pass.
-BLOCK_CHARS = 16_000_000
+#: Words of benchmark text that are searched in one go.
+BLOCK_WORDS = 200_000
 #: Every so many positions of a suffix array are kept.
 SAMPLE = 8
 
@@ -130,11 +134,11 @@ class FMIndex:
 class Phrases:
     """Windows of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            coded = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+        for item, split in items:
+            coded = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split]
             for k in range(max(min(1, len(coded)), len(coded) - window + 1)):
                 owners[tuple(coded[k : k + window])].add(item)
         self.owners = list(owners.values())
@@ -179,22 +183,62 @@ class Phrases:
         return at, np.concatenate(n), np.concatenate(which), np.searchsorted(edges, at, "right") - 1
 
 
-def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> list[Phrases]:
-    """The benchmark's windows in blocks of bounded size; items go to blocks by a hash, so a block is one small read."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_CHARS) or 1
-    cell = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [Phrases([(r["item"] or "", r["text"]) for r in items.where(cell == k).collect()], window) for k in range(n)]
+def _stretches(split: list[bytes], window: int, limit: int) -> Iterator[list[bytes]]:
+    """A text's words in stretches of about limit words that overlap so that each window lies in one of them."""
+    step = max(1, limit - window + 1)
+    for k in range(0, max(1, len(split) - window + 1), step):
+        yield split[k : k + step + window - 1]
 
 
-def _hits(blocks: list[Phrases], texts: list[str | None]) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
+def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block: int | None = None) -> list[str]:
+    """Paths of the benchmark's blocks, files written by the tasks that succeeded."""
+    folder, limit = scratch(benchmark.sparkSession, "phrases"), block or BLOCK_WORDS
+    fs, at = filesystem(folder)
+    fs.create_dir(at, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, list[bytes]]] = []
+        size = 0
+
+        def written() -> pa.RecordBatch:
+            path = f"{folder}/{uuid.uuid4().hex}"
+            fs, at = filesystem(path)
+            with fs.open_output_stream(at) as out:
+                out.write(pickle.dumps(Phrases(held, window)))
+            return pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for part in _stretches(words(text), window, limit):
+                    if held and size + len(part) > limit:
+                        yield written()
+                        held, size = [], 0
+                    if part:
+                        held.append((item, part))
+                        size += len(part)
+        if held:
+            yield written()
+
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+    return sorted(r["path"] for r in items.mapInArrow(run, "path string").collect())  # a path for each block
+
+
+@lru_cache(maxsize=1)
+def _block(path: str) -> Phrases:
+    """A block, kept until the task's worker asks for another."""
+    fs, at = filesystem(path)
+    with fs.open_input_stream(at) as stream:
+        return pickle.loads(stream.read())
+
+
+def _hits(blocks: list[str], texts: list[str | None]) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
     """For each text: its words, a flag for each word that is hit, and the items that occur."""
     split = [words(t) for t in texts]
     edges = np.cumsum([0, *map(len, split)])
     change = np.zeros(edges[-1] + 1, np.int64)
     items: list[set[str]] = [set() for _ in texts]
-    for block in blocks:
+    for path in blocks:
+        block = _block(path)
         at, n, which, text = block.find(split)
         np.add.at(change, at, 1)
         np.add.at(change, at + n, -1)
@@ -212,13 +256,13 @@ def _sliced(batches: Iterator[pa.RecordBatch], limit: int = 8_000_000) -> Iterat
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrase_blocks(benchmark, window=window))
+    blocks = phrase_blocks(benchmark, window=window)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            n, hits, items = _hits(shared.value, batch.column("text").to_pylist())
+            n, hits, items = _hits(blocks, batch.column("text").to_pylist())
             n_hit = [int(h.sum()) for h in hits]
             digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
             columns = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in n_hit], pa.bool_())]
@@ -240,7 +284,7 @@ def _without(text: str, hit: np.ndarray) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with every hit span cut out of text_col, until nothing is left to hit; texts without hits stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrase_blocks(benchmark, window=window))
+    blocks = phrase_blocks(benchmark, window=window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tracewell.llm.bpe import _bounded
@@ -249,7 +293,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             texts = batch.column(text_col).to_pylist()
             todo = [k for k, t in enumerate(texts) if t]
             while todo:
-                _, hits, _ = _hits(shared.value, [texts[k] for k in todo])
+                _, hits, _ = _hits(blocks, [texts[k] for k in todo])
                 found = [(k, h) for k, h in zip(todo, hits, strict=True) if h.any()]
                 for k, h in found:
                     texts[k] = _without(texts[k], h)
@@ -260,5 +304,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return docs.mapInArrow(run, docs.schema)
 
 
+#: The same rows by SQL: words, windows of either side, and the words that occurrences cover.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, size, hash(w[k + 1 : k + size]) AS h, w[k + 1 : k + size] AS words
+  FROM (SELECT item, w, least(len(w), 10) AS size, unnest(range(greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT r, size, unnest(range(len(w) - size + 1)) AS k FROM d, sizes WHERE len(w) >= size),
+coded AS (SELECT p.r, p.size, p.k, hash(d.w[p.k + 1 : p.k + p.size]) AS h, d.w[p.k + 1 : p.k + p.size] AS words FROM places p JOIN d USING (r)),
+found AS (SELECT c.r, c.size, c.k, x.item FROM coded c JOIN windows x ON c.h = x.h AND c.size = x.size AND c.words = x.words),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS j FROM (SELECT DISTINCT r, k, size FROM found)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY encode(item))) AS items_sha256 FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
