@@ -522,11 +522,45 @@ def test_languages_held_out(spark):
     got = language_id.op10_language_id(spark, d).toPandas().merge(spark.read.parquet(f"{d}/documents.parquet").toPandas(), on="doc_id")
     held = got[got.held_out]
     assert got.score.between(0, 1).all() and (held.lang_pred == held.lang).mean() > 0.97
-    model = language_id.train(["der die das und", "the and of to"] * 200, ["de", "en"] * 200, np.ones(language_id.BUCKETS))
+    model = language_id.train([("de", *language_id.counted("der die das und")), ("en", *language_id.counted("the and of to"))] * 200, np.ones(language_id.BUCKETS))
     langs, scores = model.predict(["THE of 12", None, "", "123 !?", "und das " * 400_000])
     assert langs == ["en", "und", "und", "und", "de"] and scores[1:4] == [0, 0, 0]
 
 
+def test_every_language_is_learned(spark):
+    """201 languages, each of letters of its own; the 101 rarer ones have half the rows and must not be given up for the others."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(201):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        rows += [(f"l{k:03d}", "".join(rng.choices(letters, k=60))) for _ in range(24 if k < 100 else 12)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit_model(df)
+    learned = {r.lang for r in df.where(language_id.learns_from(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert set(model.langs) == learned and len(learned) == 201
+    got = language_id.identify(df, model, ("doc_id", "lang")).toPandas()
+    rare = got[got.lang >= "l100"]
+    assert (rare.lang_pred == rare.lang).mean() > 0.9
+
+
+def test_language_scores_by_hand(spark, docs, rows):
+    """Scores of the query's model from the formula, n-gram by n-gram, over whole texts."""
+    model = language_id.fit_model(docs)
+    got = language_id.identify(docs, model).toPandas().set_index("doc_id")
+    for doc_id, text in list(zip(rows.doc_id, rows.text, strict=True))[:60]:
+        points = [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32, 32]
+        z = np.array(model.bias, float)
+        for k in range(len(points) - 2):
+            h = 0
+            for size in range(3):
+                h = (h + points[k + size] + 1) * 0x9E3779B1 % 2**32
+                bucket = ((h ^ h >> 15) * 0x85EBCA77 % 2**32) >> 16
+                z = z + model.table[:, bucket] / (3 * (len(points) - 2))
+        p = np.exp(z / model.temperature - (z / model.temperature).max())
+        p /= p.sum()
+        assert got.lang_pred[doc_id] == model.langs[p.argmax()] and math.isclose(got.score[doc_id], p.max(), rel_tol=1e-4), doc_id
+
+
 def test_pipeline(spark, small, odd_dir, empty_dir):
     import corpus_pipeline as p
 

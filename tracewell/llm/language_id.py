@@ -1,22 +1,25 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF weights of character n-grams.
 
 Inverse document frequencies come from all rows that may be learned from. The weights are trained by
-follow-the-regularised-leader with L1 and L2 penalties on a bounded sample of those rows (MAX_FIT of each
-language); a temperature fitted on a part of the sample that training leaves out calibrates the probabilities.
+follow-the-regularised-leader with L1 and L2 penalties on a bounded sample of those rows: of each language MAX_FIT
+rows at most and its share of FIT_CHARS characters, both in the mean of a draw by id. Tasks turn the sample into
+counts of n-grams; the driver gets those. A temperature fitted on a part of the sample that training leaves out
+calibrates the probabilities. Every language that occurs is learned; the weights take 0.25 MB for each.
 
 n-grams of 1 to 3 characters are hashed to BUCKETS; characters are lower-cased and what isn't a letter counts as
 a blank. Term frequencies are relative to a text's n-grams, so a text's logits are the mean over its n-grams of
 idf times weight: they are gathered, never counted, and texts of any length take a block of memory at a time.
 
 Edge cases: a text that is null or has no letter is `und` with score 0, and so is every text if nothing could be
-learned; rows whose language or id is null aren't learned from; repeated rows give repeated results; an empty
+learned; rows whose language, id or text is null aren't learned from; of languages that are equally likely the
+first in the alphabet is taken; repeated rows give repeated results; an empty
 table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,11 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm._shared import table
+from tracewell.llm.bpe import _bounded
 
 #: Rows of each language that the weights are trained on at most, about; chosen by a hash of the id.
 MAX_FIT = 1200
-#: Languages that can be told apart, the most frequent ones.
-MAX_LANGS = 200
+#: Characters that the weights are trained on at most, about, in equal shares for the languages.
+FIT_CHARS = 64_000_000
 #: log2 of the number of n-gram buckets.
 BITS = 16
 BUCKETS = 1 << BITS
@@ -143,20 +147,25 @@ class Model:
         return langs, scores
 
 
-def train(texts: list[str], langs: list[str], idf: np.ndarray) -> Model:
-    """Weights by FTRL-proximal over documents in the given order, then the temperature."""
-    names = sorted(set(langs))
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams and how often each occurs."""
+    total = np.zeros(BUCKETS, np.int64)
+    for a in range(0, max(1, len(text)), BLOCK):
+        for h in ngrams(_points(text[a : a + BLOCK])):
+            total += np.bincount(h, minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
+def train(sample: Iterable[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
+    """Weights by FTRL-proximal over documents (language, buckets, counts) in the given order, then the temperature."""
+    sample = [x for x in sample if len(x[1])]
+    names = sorted({lang for lang, *_ in sample})
     if not names:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
     which = {v: k for k, v in enumerate(names)}
-    rows = []
-    for text, lang in zip(texts, langs, strict=True):
-        h = np.concatenate([np.concatenate([*ngrams(_points(text[a : a + BLOCK]))]) for a in range(0, max(1, len(text)), BLOCK)])
-        if not len(h):
-            continue
-        at, count = np.unique(h, return_counts=True)
-        # A constant feature last, for the bias.
-        rows.append((np.append(at, BUCKETS), np.append(count / len(h) * idf[at], 1.0), which[lang]))
+    # A constant feature last, for the bias.
+    rows = [(np.append(at, BUCKETS), np.append(count / count.sum() * idf[at], 1.0), which[lang]) for lang, at, count in sample]
     held, used = rows[::CALIBRATE], [r for k, r in enumerate(rows) if k % CALIBRATE]
     if len(rows) < 4 * CALIBRATE:
         held = used = rows
@@ -214,15 +223,28 @@ def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """The model from the rows that may be learned from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learns_from(F.col("doc_id")))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    rates = sizes.withColumn("rate", F.least(F.lit(1.0), F.lit(float(max_fit)) / F.col("n"))).drop("n")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    order = F.xxhash64("doc_id", F.lit("order"))
-    sample = rows.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("doc_id", "text", "lang")
-    sample = sample.orderBy(order, "doc_id", "text").limit(2 * max_fit * MAX_LANGS).toPandas()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()  # a row for each language
+    if not sizes:
+        return train([], np.ones(BUCKETS))
+    share = FIT_CHARS / len(sizes)
+    rates = [(r["lang"], min(1.0, max_fit / r["n"], share / max(1, r["chars"]))) for r in sizes]
+    rates = docs.sparkSession.createDataFrame(rates, "lang string, rate double")
+    # Drawn by id and text, so that rows of one id aren't all in or out.
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    sample = rows.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select(F.xxhash64("doc_id", F.lit("order")).alias("place"), F.col("doc_id").cast("string").alias("id"), "lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at, n = counted(batch.column("text")[k].as_py())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("place", "id", "lang")), pa.array([at.astype("<u2").tobytes()]), pa.array([n.astype("<u4").tobytes()])], names=["place", "id", "lang", "at", "n"])
+
+    found = sample.mapInArrow(run, "place long, id string, lang string, at binary, n binary").toPandas()
+    found = found.sort_values(["place", "id", "at", "n"])
     counts = document_frequencies(rows)
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
-    return train(sample["text"].tolist(), sample["lang"].tolist(), idf)
+    numbers = ((np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(n, "<u4").astype(np.int64)) for at, n in zip(found["at"], found["n"], strict=True))
+    return train(((lang, *x) for lang, x in zip(found["lang"].tolist(), numbers, strict=True)), idf)
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -232,7 +254,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches, "_text", 16 * BLOCK):
             langs, scores = [], []
             for a in range(0, batch.num_rows, 500):
                 own = shared.value.predict(batch.column("_text").slice(a, 500).to_pylist())
