@@ -293,8 +293,27 @@ def test_toxicity_held_out(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
     held = got[got.held_out]
     assert (held.predicted == held.toxic).mean() > 0.95
-    flat = toxicity.fit(["a", None], [0, 0])
-    assert flat.score(["a"]) == 0.0
+
+
+def test_toxicity_of_one_class(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(["a b", None, "", "c"] * 5)], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(20)] + [(None, 1, 1), (3, None, 1)], "doc_id long, toxic int, text int")
+    assert toxicity.score_documents(docs, toxicity.fit_model(docs, labels)).where("score <> 0").count() == 0
+
+
+def test_toxicity_scores_by_hand(spark, small, docs, rows):
+    """Scores of the query's model from the definition of maximal segments and the formulas, over whole texts."""
+    model = toxicity.fit_model(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    got = toxicity.score_documents(docs, model).toPandas().set_index("doc_id").score
+    for doc_id, text in zip(rows.doc_id, rows.text, strict=True):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if len(words) > 400:
+            continue
+        s = [max([model.weights.get(f, -toxicity.DRIFT) for f in [w, *(w[:n] + "*" for n in toxicity.STEMS if len(w) > n)]]) for w in words]
+        found = [(sum(s[a:b]), model.k * len(words) * math.exp(-model.scale * sum(s[a:b]))) for a, b in _segments(s)]
+        strong = [-math.log(max(e, 1e-300)) for _, e in found if e <= toxicity.E_MAX]
+        x = [1.0, math.log1p(max([0.0, *(v for v, _ in found)])), math.log1p(sum(strong)), math.log1p(len(strong)), math.log1p(len(words))]
+        assert math.isclose(got[doc_id], 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.curve, x, strict=True)))), rel_tol=1e-6, abs_tol=1e-9), doc_id
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

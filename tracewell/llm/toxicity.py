@@ -1,24 +1,25 @@
 """Toxicity by maximum-scoring segments.
 
-Fit (driver, on a bounded sample of labelled documents): log-odds of words and of word beginnings between the two
-classes, with a Dirichlet prior from the pooled counts; a feature counts only if its documents are too many for chance.
-Every other word costs DRIFT. lambda and K of the extreme-value law of segment scores come from
-the clean documents, and a logistic curve turns a document's aggregated evidence into a probability.
+Fit, on a bounded sample of labelled documents, by Spark jobs of which the driver sees features, not texts: log-odds
+of words and of word beginnings between the two classes, with a Dirichlet prior from the pooled counts. Two
+departures from taking every word's log-odds: a feature counts only if its documents are too many for chance, and
+every other word costs the same, DRIFT. lambda and K of the extreme-value law of segment scores come from the clean
+documents, and a logistic curve turns a document's aggregated evidence into a probability.
 
 Score (tasks, whole texts): one linear scan finds all maximal scoring segments (disjoint, none extendable).
 Each has an E-value K n exp(-lambda S); a document is scored on its best segment, on the sum over its
 significant ones, and on how many there are.
 
-Edge cases: a null or empty text has no segments and scores as such; documents whose label is null are not fitted
-on; several labels of a document count as their largest; without both classes in the labels every score is 0;
-repeated rows give repeated results; an empty table gives an empty result; further columns are ignored or kept.
+Edge cases: a null or empty text has no segments and scores as such; documents whose label or id is null are not
+fitted on; several labels of a document count as their largest; without both classes in the labels every score is
+0; repeated rows give repeated results; an empty table gives an empty result; further columns are ignored or kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import table
+from tracewell.llm._shared import Workspace, table
+from tracewell.llm.bpe import _bounded
 
-#: Labelled documents of each class that the model is fitted on at most, the first in hash order.
-MAX_FIT = 5000
+#: Labelled rows of each class, and characters of them, that the model is fitted on at most, about; drawn by hash.
+MAX_FIT, FIT_CHARS = 3000, 32_000_000
+#: Tasks that the sample is dealt to.
+FIT_TASKS = 8
 #: Weight of the prior in pseudo-words.
 PRIOR = 50.0
 #: Log-likelihood ratio from which a feature counts, before the share for the number of features tried.
@@ -53,6 +57,10 @@ def learns_from(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
+def hash_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
 def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
@@ -141,9 +149,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _law(model: Model, clean: list[list[str]]) -> tuple[float, float]:
-    """lambda with E[exp(lambda s)] = 1 over clean words, and K from the segments found in clean documents."""
-    scores = Counter(model.word_score(w) for words in clean for w in words)
+def _law(model: Model, scores: Counter) -> float:
+    """lambda with E[exp(lambda s)] = 1 over the scores of clean words."""
     total = sum(scores.values()) or 1
     # Weights that clean words never showed keep a small probability.
     p = {s: n / total for s, n in scores.items()}
@@ -154,13 +161,7 @@ def _law(model: Model, clean: list[list[str]]) -> tuple[float, float]:
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if mean(mid) < 1 else (low, mid)
-    scale = low
-    model.scale = scale
-    floor, seen, expected = 2.0, 1.0, 1.0
-    for words in clean:
-        seen += sum(s >= floor for _, _, s, _ in model.segments(words))
-        expected += len(words) * math.exp(-scale * floor)
-    return scale, min(1.0, max(1e-4, seen / expected))
+    return low
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
@@ -178,13 +179,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
-def _without_copies(split: list[list[str]], labels: list[int]) -> tuple[list[list[str]], list[int]]:
-    """One document of each group with the same lowest shingle hash: copies say nothing new about a word."""
-    kept: dict[int, tuple[list[str], int]] = {}
-    for words, y in zip(split, labels, strict=True):
-        key = min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
-        kept.setdefault(2 * key + y, (words, y))
-    return [w for w, _ in kept.values()], [y for _, y in kept.values()]
+def _sketch(words: list[str]) -> list[int]:
+    """Four numbers, each from the lowest hashes in three of twelve classes of 3-word shingles."""
+    hashes = np.array([hash_of(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
+    low = np.full(12, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(low, (hashes % np.uint64(12)).astype(np.int64), hashes)
+    return [hash_of(f"{k}:{low[k : k + 3].tolist()}") >> 1 for k in range(0, 12, 3)]
+
+
+def _copies(found: list[tuple[int, int, list[int]]]) -> set[int]:
+    """Keys of documents (key, label, sketch) of which another of the class agrees in a number of the sketch."""
+    seen: set[tuple[int, int]] = set()
+    out = set()
+    for key, label, sketch in sorted(found):
+        own = {(label, x) for x in sketch}
+        if own & seen:
+            out.add(key)
+        else:
+            seen |= own
+    return out
 
 
 def _surprise(k1: int, n1: int, k0: int, n0: int) -> float:
@@ -194,46 +207,109 @@ def _surprise(k1: int, n1: int, k0: int, n0: int) -> float:
     return 2 * (part(k1, n1) + part(k0, n0))
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
-    model = Model()
-    if len(set(labels)) < 2:
-        return model
-    shared: dict[str, str] = {}  # one object a word: the lists then hold references only
-    split, labels = _without_copies([[shared.setdefault(w, w) for w in tokens(t)] for t in texts], labels)
-    count, docs = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
-    for words, y in zip(split, labels, strict=True):
-        own = Counter(words)
-        count[y].update(own)
-        docs[y].update({f for w in own for f in _features(w)})
-    n = {y: sum(count[y].values()) for y in (0, 1)}
-    for y in (0, 1):
-        for w, v in list(count[y].items()):
-            for f in _features(w)[1:]:
-                count[y][f] += v
-    n_docs = {y: labels.count(y) for y in (0, 1)}
+def _weigh(rows: list[tuple[str, int, int, int, int]], n: list[int], n_docs: list[int], n_features: int) -> dict[str, float]:
+    """Weights from (feature, its words and documents among clean ones, among toxic ones) and the totals of both."""
     # Many features are tried, so chance finds grow with their number; the bar grows with its logarithm.
-    bar = SURPRISE + 2 * math.log(max(2, len(docs[1])))
-    for f, k in docs[1].items():
-        a = PRIOR * (count[0][f] + count[1][f]) / (n[0] + n[1])
-        up, down = count[1][f] + a, count[0][f] + a
+    bar = SURPRISE + 2 * math.log(max(2, n_features))
+    out = {}
+    for f, c0, d0, c1, d1 in rows:
+        a = PRIOR * (c0 + c1) / sum(n)
+        up, down = c1 + a, c0 + a
         delta = math.log(up / max(1e-9, n[1] + PRIOR - up)) - math.log(down / max(1e-9, n[0] + PRIOR - down))
-        if k >= MIN_DOCS and delta > 1.0 and _surprise(k, n_docs[1], docs[0][f], n_docs[0]) >= bar:
-            model.weights[f] = min(delta, 12.0)
-    model.scale, model.k = _law(model, [w for w, y in zip(split, labels, strict=True) if not y])
-    model.curve = _logistic(np.array([model.evidence(w) for w in split]), np.array(labels, float))
-    model._memo.clear()
-    return model
+        if delta > 1.0 and _surprise(d1, n_docs[1], d0, n_docs[0]) >= bar:
+            out[f] = min(delta, 12.0)
+    return out
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT) -> Model:
-    """Fit on at most max_fit labelled documents of each class, the first in hash order; held-out rows are left alone."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_fit: int) -> DataFrame:
+    """key, label, text of about max_fit rows and FIT_CHARS / 2 characters of each class at most; equal texts of a class are one."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learns_from(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
-    order = F.xxhash64("doc_id")
-    sample = known.where("label = 1").orderBy(order, "doc_id").limit(max_fit).unionByName(known.where("label = 0").orderBy(order, "doc_id").limit(max_fit))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").toPandas()
-    return fit(rows["text"].tolist(), rows["label"].tolist())
+    texts = docs.where(learns_from(F.col(id_col))).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.select("doc_id", F.length("text").alias("chars")).join(known, "doc_id")
+    rates = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    rates = rates.select("label", F.least(F.lit(1.0), F.lit(float(max_fit)) / F.col("n"), F.lit(FIT_CHARS / 2) / F.greatest(F.lit(1), "chars")).alias("rate"))
+    rates = {r["label"]: r["rate"] for r in rates.collect()}  # two rows
+    # Drawn by id and text, so that rows of one id aren't all in or out; ids are drawn first, so few labels are joined.
+    by_id = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    rate = F.when(F.col("label") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
+    drawn = texts.join(known.where(by_id < 2 * rate), "doc_id")
+    by_row = F.pmod(F.xxhash64("doc_id", "text", F.lit("row")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    drawn = drawn.where(by_row < F.greatest(F.lit(0.5), rate)).select(F.xxhash64("text").alias("key"), "label", "text")
+    return drawn.dropDuplicates(["key", "label"])
+
+
+def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT) -> Model:
+    """Fit on a bounded sample of the labelled rows; held-out rows are left alone."""
+    spark = docs.sparkSession
+    work = Workspace(spark)
+    sample = work.put(_sample(docs, labels, id_col, text_col, label_col, max_fit).repartition(FIT_TASKS, "key"), "toxic-sample")
+    model = Model()
+
+    def rows_of(run, schema: str) -> DataFrame:
+        """What run makes of the sample's (key, label, words); the sample is bounded, and so is this."""
+
+        def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            each = ((k, y, tokens(t)) for b in _bounded(found, "text", 8_000_000) for k, y, t in zip(*(b.column(c).to_pylist() for c in ("key", "label", "text")), strict=True))
+            out = list(run(each))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
+        return sample.select("key", "label", "text").mapInArrow(batches, schema)
+
+    found = rows_of(lambda docs: ((k, y, _sketch(w)) for k, y, w in docs), "key long, label long, sketch array<bigint>")
+    found = [(r["key"], r["label"], r["sketch"]) for r in found.collect()]
+    out = _copies(found)
+    n_docs = [sum(y == c and k not in out for k, y, _ in found) for c in (0, 1)]
+    if not all(n_docs):
+        work.close()
+        return model
+
+    def count(docs: Iterator[tuple[int, int, list[str]]]) -> Iterator[tuple]:
+        total: dict[str, list[int]] = {}
+        for key, label, words in docs:
+            if key not in out:
+                own: Counter = Counter()
+                for w, n in Counter(words).items():
+                    for f in _features(w):
+                        own[f] += n
+                for f, n in own.items():
+                    x = total.setdefault(f, [0, 0, 0, 0])
+                    x[2 * label] += n
+                    x[2 * label + 1] += 1
+                x = total.setdefault("", [0, 0, 0, 0])
+                x[2 * label] += len(words)
+        return ((f, *x) for f, x in total.items())
+
+    counts = rows_of(count, "feature string, c0 long, d0 long, c1 long, d1 long")
+    counts = work.put(counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("c0", "d0", "c1", "d1"))), "toxic-features")
+    n = next(([r["c0"], r["c1"]] for r in counts.where("feature = ''").collect()), [0, 0])
+    n_features = counts.where("feature <> '' AND d1 > 0").count()
+    model.weights = _weigh([tuple(r) for r in counts.where(f"feature <> '' AND d1 >= {MIN_DOCS} AND c1 * {n[0]} > c0 * {n[1]}").orderBy("feature").collect()], n, n_docs, n_features)
+
+    floor = 2.0
+
+    def clean(docs: Iterator[tuple[int, int, list[str]]]) -> Iterator[tuple]:
+        scores: Counter = Counter()
+        seen: Counter = Counter()
+        for key, label, words in docs:
+            if key not in out and not label:
+                scores.update(map(model.word_score, words))
+                seen["segments"] += sum(s >= floor for _, _, s, _ in model.segments(words))
+        yield from (("score", s, n) for s, n in scores.items())
+        yield from (("segments", 0.0, n) for n in seen.values())
+
+    law = rows_of(clean, "what string, score double, n long").groupBy("what", "score").agg(F.sum("n").alias("n")).collect()
+    scores = Counter({r["score"]: r["n"] for r in sorted(law) if r["what"] == "score"})
+    model.scale = _law(model, scores)
+    seen = 1.0 + sum(r["n"] for r in law if r["what"] == "segments")
+    model.k = min(1.0, max(1e-4, seen / (1.0 + sum(scores.values()) * math.exp(-model.scale * floor))))
+    evidence = rows_of(lambda docs: ((k, y, model.evidence(w)) for k, y, w in docs if k not in out), "key long, label long, evidence array<double>").collect()
+    evidence = sorted((r["key"], r["label"], r["evidence"]) for r in evidence)
+    model.curve = _logistic(np.array([x for *_, x in evidence]), np.array([y for _, y, _ in evidence], float))
+    model._memo.clear()
+    work.close()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -244,7 +320,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in _bounded(batches, text_col, 8_000_000):
             scores = [own.score(tokens(t.as_py())) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out_col])
 
