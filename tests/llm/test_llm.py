@@ -476,7 +476,7 @@ def _groups(texts, n, percent):
     return [(len(a), root(i)) for i, a in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("n", "percent", "cell"), [(3, 90, 4000), (5, 80, 3)])
+@pytest.mark.parametrize(("n", "percent", "cell"), [(3, 90, 4000), (3, 90, 7), (5, 80, 3)])
 def test_similarity_join(spark, n, percent, cell):
     rng = random.Random(17)
     texts = [None, "", "one", "one two", "One  two"]

@@ -4,12 +4,15 @@
 2. Classes that can reach the threshold are brought together. Sizes fall into levels whose ends are a factor of
    the threshold apart; linked sets meet in the level of the larger one. There they differ in at most D shingles,
    so of the slices of the hash range all but D are equal in both, and the sum over a slice is a shared key. Of its
-   keys a class uses only the D + 1 that fewest classes have (the others are the long lists that can be set aside):
-   what common passages share is set aside with them, and brings nothing together.
+   keys a class uses only the first D + 1 in one order of all keys (prefix filter): by how many keys fall into a
+   key's bucket of BUCKETS, so what common passages share comes last and brings nothing together. Each batch passes
+   on one class of each key, and what ties the others to it.
 3. Classes that share keys, directly or in chains, form a block. Within a block a T-occurrence search finds every
    link: inverted lists by shingle, the short ones merged, the long ones (T - 1 at most, so nothing is missed)
    probed by binary search for the candidates that are left, and those reaching the overlap are kept.
-   Blocks of more than CELL classes are dealt to several tasks: each pair of chunks is one cell.
+   Blocks of more than CELL classes are dealt to chunks, each searched along with a few hubs of the block. That
+   ties most of a family together. Classes outside the block's largest component, and they alone, are then searched
+   for among the classes of every chunk: pairs within one component need no search.
 4. Components of the links, by alternating large and small stars, labelled with the smallest doc_id.
 
 Hashes have 64 bits; set identity has 128.
@@ -30,14 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tracewell.llm._shared import spread_join, staged, table
+from tracewell.llm._shared import Workspace, spread_join, staged, table
+from tracewell.llm.bpe import _bounded
 
 #: Words of a shingle and the threshold in percent.
 WORDS, PERCENT = 3, 90
-#: Classes that one task searches at a time.
-CELL = 4_000
+#: Classes that one task searches at a time, and classes of a larger block that go to each of its tasks.
+CELL, HUBS = 500, 4
+#: Buckets that keys are counted in.
+BUCKETS = 1 << 20
 #: Ids up to which a list of them is sent to all tasks.
 ID_ROWS = 1_000_000
 #: Edges a task holds before it sends on the forest they span, and edges that one task settles.
@@ -292,36 +297,118 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return staged(docs.mapInArrow(run, "id long, n_shingles long, same binary, keys array<long>, n_low int, spare array<int>"), "classes")
 
 
-def links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
-    """Edges (u, v) of linked classes; members: id and block of every class that shares a key with another."""
-    sizes = staged(members.groupBy("block").agg(F.count(F.lit(1)).alias("n_ids")), "blocks")
-    chunked = spread_join(members, sizes, "block", "id", "inner").withColumn("n_chunks", F.ceil(F.col("n_ids") / F.lit(cell)).cast("int"))
-    chunked = staged(chunked.select("id", "block", "n_chunks", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("n_chunks")).cast("int").alias("chunk")), "chunks")
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Rows of wanted (by id) with the shingles of the id's texts as data."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    few = chunked.limit(ID_ROWS + 1).count() <= ID_ROWS
-    found = texts.join(F.broadcast(chunked) if few else chunked, "id")
+    few = wanted.limit(ID_ROWS + 1).count() <= ID_ROWS
+    found = texts.join(F.broadcast(wanted) if few else wanted, "id")
+    keep = wanted.columns
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in _bounded(batches, "text", 8_000_000):
             data = [shingles(t.as_py(), hashes, n).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "block", "n_chunks", "chunk")), pa.array(data, pa.binary())], names=["id", "block", "n_chunks", "chunk", "data"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(data, pa.binary())], names=[*keep, "data"])
 
-    with_sets = found.select("id", "block", "n_chunks", "chunk", "text").mapInArrow(sets, "id long, block long, n_chunks int, chunk int, data binary")
-    # A chunk meets every chunk, itself included, in one cell.
-    other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))
-    cells = with_sets.withColumn("other", other).select("id", "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "data")
+    found = found.select(*keep, "text")
+    return found.mapInArrow(sets, _schema(found.drop("text"), ("data", "binary")))
+
+
+def _search_cells(cells: DataFrame, percent: int, sided: bool) -> DataFrame:
+    """Edges within each cell (block, i, j), or between its two sides; big says that the block has several chunks."""
 
     def run(part: pa.Table) -> pa.Table:
-        rows = part.select(["id", "chunk", "data"]).to_pylist()
+        rows = part.select(["id", "side", "data"]).to_pylist()
         # Rows in one order whatever the order of arrival, and one node for rows of one id.
-        rows.sort(key=lambda r: (r["id"], r["data"]))
-        own = part.column("i")[0].as_py() == part.column("j")[0].as_py()
-        sides = None if own else np.array([r["chunk"] for r in rows])
-        found = search([r["id"] for r in rows], [np.frombuffer(r["data"], np.uint64) for r in rows], percent, sides)
-        return pa.Table.from_batches([_edge_batch(found)])
+        rows.sort(key=lambda r: (r["id"], r["side"], r["data"]))
+        sides = np.array([r["side"] for r in rows]) if sided else None
+        found = _edge_batch(search([r["id"] for r in rows], [np.frombuffer(r["data"], np.uint64) for r in rows], percent, sides))
+        return pa.Table.from_batches([found]).append_column("big", pa.array([part.column("big")[0].as_py()] * found.num_rows, pa.bool_()))
+
+    return cells.groupBy("block", "i", "j").applyInArrow(run, "u long, v long, big boolean")
 
-    return staged(cells.groupBy("block", "i", "j").applyInArrow(run, "u long, v long"), "links")
+
+def links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """Edges (u, v) that connect whatever is linked; members: id and block of every class that shares a key with another."""
+    hubs = F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(HUBS)))
+    sizes = staged(members.groupBy("block").agg(F.count(F.lit(1)).alias("n_ids"), hubs.alias("hubs")), "blocks")
+    chunked = spread_join(members, sizes, "block", "id", "inner").withColumn("n_chunks", F.ceil(F.col("n_ids") / F.lit(cell)).cast("int"))
+    chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("n_chunks")).cast("int")
+    chunked = staged(chunked.select("id", "block", "n_chunks", chunk.alias("chunk"), F.array_contains("hubs", F.col("id")).alias("hub")), "chunks")
+    every = F.sequence(F.lit(0), F.col("n_chunks") - 1)
+    cells = _sets(docs, chunked, id_col, text_col, n).withColumn("i", F.explode(F.when(F.col("hub"), every).otherwise(F.array("chunk"))))
+    cells = cells.select("id", "block", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), (F.col("n_chunks") > 1).alias("big"), "data")
+    found = staged(_search_cells(cells, percent, False), "links")
+    big = chunked.where("n_chunks > 1").select("id", "block", "n_chunks", "chunk")
+    if not big.limit(1).count():
+        return found.select("u", "v")
+    tied = components(found.where("big").select("u", "v"), "tied")
+    rooted = staged(spread_join(big, tied.select(F.col("u").alias("id"), "v"), "id", "chunk").select("id", "block", "n_chunks", "chunk", F.coalesce("v", "id").alias("root")), "rooted")
+    largest = rooted.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    largest = staged(largest.select("block", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / F.lit(cell)).cast("int").alias("n_rest")).where("n_rest > 0"), "largest")
+    placed = spread_join(rooted, largest, "block", "id", "inner")
+    rest = placed.where("root <> top").withColumn("j", F.pmod(F.xxhash64("id", F.lit("rest")), F.col("n_rest")).cast("int"))
+    rest = rest.select("id", "block", F.explode(every).alias("i"), "j", F.lit(1).alias("side"))
+    whole = placed.select("id", "block", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("j"), F.lit(0).alias("side"))
+    where = staged(rest.unionByName(whole).withColumn("big", F.lit(True)), "cells")
+    more = staged(_search_cells(_sets(docs, where, id_col, text_col, n), percent, True), "links")
+    return found.unionByName(more).select("u", "v")
+
+
+def _first_keys(sizes: np.ndarray):
+    """Of each class the first keys in the order of their buckets' sizes; what shares one in a batch is tied there.
+
+    Rows (key, id) for one class of each key, and edges (u, v).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sizes.value
+        for batch in batches:
+            found, owner = [], []
+            columns = (batch.column(c).to_pylist() for c in ("id", "n_low", "spare"))
+            ends = batch.column("keys").offsets.to_numpy()
+            flat = batch.column("keys").values.to_numpy()
+            for k, (i, n_low, spare) in enumerate(zip(*columns, strict=True)):
+                for part, more in ((flat[ends[k] : ends[k] + n_low], spare[0]), (flat[ends[k] + n_low : ends[k + 1]], spare[1])):
+                    if more < 0:
+                        part = part[np.lexsort((part, own[part & (BUCKETS - 1)]))[: len(part) + more]]
+                    found.append(part)
+                    owner.append(np.full(len(part), i))
+            key, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, owner))
+            order = np.lexsort((ids, key))
+            key, ids = key[order], ids[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            forest = Forest()
+            first = ids[new][np.cumsum(new) - 1] if len(ids) else ids
+            apart = first != ids
+            for a, b in np.unique(np.stack([first[apart], ids[apart]], 1), axis=0).tolist():
+                forest.join(a, b)
+            edges = np.array(forest.edges(), np.int64).reshape(-1, 2)
+            n = int(new.sum())
+            rows = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(edges), pa.int64())]) for x in (key[new], ids[new])]
+            rows += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(edges[:, c])]) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays(rows, names=["key", "id", "u", "v"])
+
+    return run
+
+
+def _bucket_sizes(keys: DataFrame) -> np.ndarray:
+    """How many keys fall into each bucket; an array of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            flat = batch.column("keys").flatten().to_numpy()
+            if len(flat):
+                total += np.bincount(flat & (BUCKETS - 1), minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bucket", "n"])
+
+    got = keys.select("keys").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
@@ -337,25 +424,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Keys of one row a class: the others are taken out by their ids.
     others = first.where("id <> first_id").select("id", "same").distinct()
     few = others.limit(ID_ROWS + 1).count() <= ID_ROWS
-    one = known.join(F.broadcast(others) if few else others, ["id", "same"], "left_anti")
-    # Texts of one id are classes of their own: the nth of an id has levels 2 n and 2 n + 1.
-    several = known.groupBy("id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("id")
-    several = known.select("id", "same").join(several, "id", "left_semi").distinct().withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("same")))
-    several = staged(several, "several")
-    few_several = several.limit(ID_ROWS + 1).count() <= ID_ROWS
-    one = one.join(F.broadcast(several) if few_several else several, ["id", "same"], "left")
-    level = 2 * F.coalesce("nth", F.lit(0)) + (F.col("at") >= F.col("n_low")).cast("int")
-    every_key = one.select("id", "nth", "n_low", "spare", F.posexplode("keys").alias("at", "key")).select("key", "id", level.alias("level"), "spare")
-    every_key = every_key.select("key", "id", "level", F.get("spare", F.col("level") % 2).alias("spare"))
-    # How many classes have a key; those that one class has alone bring nothing together, but count as the rarest.
-    rare = every_key.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1")
-    # Of each class and level the rarest D + 1: spare is that number less all of its keys.
-    rare = rare.groupBy("id", "level").agg(F.first("spare").alias("spare"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"))
-    rare = rare.where(F.size("k") + F.col("spare") > 0).select("id", F.explode(F.slice("k", F.lit(1), F.size("k") + F.col("spare"))["key"]).alias("key"))
-    shared = rare.repartition(n_parts, "key").sortWithinPartitions("key", "id").mapInArrow(_chains, "u long, v long")
+    one = known.join(F.broadcast(others) if few else others, ["id", "same"], "left_anti").select("id", "n_low", "spare", "keys")
+    order = spark.sparkContext.broadcast(_bucket_sizes(one))
+    work = Workspace(spark)
+    used = work.put(one.mapInArrow(_first_keys(order), "key long, id long, u long, v long"), "keys")
+    shared = used.where("key IS NOT NULL").select("key", "id").repartition(n_parts, "key").sortWithinPartitions("key", "id").mapInArrow(_chains, "u long, v long")
+    shared = shared.unionByName(used.where("key IS NULL").select("u", "v"))
     stars = components(shared, "blocks")
     members = staged(stars.select(F.col("u").alias("id"), F.col("v").alias("block")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("block"))).distinct(), "members")
+    work.close()
     # An id with several texts joins all that their copies stand for.
+    several = staged(known.groupBy("id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("id"), "several")
+    few_several = several.limit(ID_ROWS + 1).count() <= ID_ROWS
     bridges = first.where("id <> first_id").join(F.broadcast(several) if few_several else several, "id", "left_semi")
     found = links(docs, members, id_col, text_col, n, percent, cell).unionByName(bridges.select(F.col("id").alias("u"), F.col("first_id").alias("v")))
     joined = components(found, "linked")
