@@ -40,7 +40,7 @@ from tracewell.llm.bpe import _bounded
 #: Words of a shingle and the threshold in percent.
 WORDS, PERCENT = 3, 90
 #: Classes that one task searches at a time, and classes of a larger block that go to each of its tasks.
-CELL, HUBS = 500, 4
+CELL, HUBS = 250, 4
 #: Buckets that keys are counted in.
 BUCKETS = 1 << 20
 #: Ids up to which a list of them is sent to all tasks.
