@@ -1,7 +1,9 @@
 """Cases the queries' data doesn't hold."""
 
+import http.server
 import json
 import struct
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,14 @@ def test_matchers_refuse(spark):
             matching.attribute(F.create_map().cast("map<string,string>"), "k", op, v)
 
 
+def test_patterns_of_java(spark):
+    """Unicode classes are valid; what isn't regular, or Java refuses, is no pattern."""
+    df = spark.createDataFrame([("żółw",), ("a1",), (None,)], "x string")
+    assert [r.m for r in df.select(matching.matches(F.col("x"), "regex", ["v"], r"^\p{L}+$").alias("m")).collect()] == [True, False, False]
+    assert [matching.search(p) for p in ("(?>a)", r"(a)\1", "[", r"(?<n>a)\k<n>", "a{2,1}")] == [None] * 5 and matching.search(r"\\1")
+    assert [r.m for r in df.select(matching.matches(F.col("x"), "prefix", ["q", "a"]).alias("m")).collect()] == [False, True, False]
+
+
 def test_statement_normalisation(spark):
     df = spark.createDataFrame([("select  * from t where a = 'x y' and b = 12 and c = \"q\" ٣",)], "n string")
     assert one(df.select(matching.generic_statement(F.col("n")).alias("x"))).x == "SELECT * FROM T WHERE A = ? AND B = ? AND C = ? ?"
@@ -150,6 +160,68 @@ def test_export_rows(spark):
     body = json.loads(one(export.to_json(export.plain_rows(df.limit(1)))).body)
     assert "parent_id" not in body and body["error"] == 2
     assert [r.batch_no for r in export.batches(export.plain_rows(df), size=3).orderBy("batch_no").collect()] == [0, 0, 0, 1]
+    two = spans(spark, {"trace_id": "a"}, {"trace_id": "b"}, {"trace_id": "b"})
+    assert {r.shard for r in export.batches(export.plain_rows(two), shards=2).collect()} <= {0, 1}
+    no_attributes = export.compressed_rows(compress.compress(spans(spark, {"duration_ms": 1}, {"duration_ms": 2}, {"duration_ms": 2})))
+    assert one(no_attributes).meta["compression.mean_duration_ms"] == "1.67"
+
+
+@pytest.fixture
+def receiver():
+    """A server that keeps what is posted to it; it refuses bodies that name the operation "bad"."""
+    got = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            fine = all(r["name"] != "bad" for r in body["data"])
+            if fine:
+                got.append(body["data"])
+            self.send_response(202 if fine else 500)
+            self.end_headers()
+
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", got
+    server.shutdown()
+
+
+def test_posts_are_the_numbered_batches(spark, receiver):
+    url, got = receiver
+    df = spans(spark, *[{"trace_id": f"t{k % 9}", "span_id": f"x{k}"} for k in range(100)])
+    rows = export.batches(export.plain_rows(df), size=7, shards=3)
+    writer = export.HttpWriter(url, size=7, retries=0)
+    assert writer.healthy()
+    sent = writer.write(rows).collect()
+    assert len(sent) == 100 and all(r.sent for r in sent)
+    want = {}
+    for r in rows.collect():
+        want.setdefault((r.shard, r.batch_no), set()).add(r.id)
+    assert sorted(sorted(r["id"] for r in body) for body in got) == sorted(map(sorted, want.values()))
+
+
+def test_failed_posts_are_tried_with_the_next_batch(spark, receiver, tmp_path):
+    url, got = receiver
+    s = Sampler(f"file://{tmp_path}/state", writer=export.HttpWriter(url, retries=0))
+    first = [{"trace_id": "good", "status_code": 2}, {"trace_id": "ill", "operation_name": "bad", "status_code": 2}, {"trace_id": "late", "timestamp_ms": 10_000_000}]
+    s.process(spans(spark, *first), 0)
+    assert {r.trace_id for r in s.decisions(spark).collect()} == {"good"} and {r["trace_id"] for body in got for r in body} == {"good"}
+    assert {r.trace_id for r in s.pending(spark).collect()} == {"ill", "late"}
+
+
+def test_numbered_batches_are_written_once(spark, tmp_path):
+    w = export.TableWriter(str(tmp_path / "out"))
+    rows = export.batches(export.plain_rows(spans(spark, {}, {})))
+    for _ in range(2):
+        assert w.write(rows, 3).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
 def test_retries():
@@ -159,19 +231,27 @@ def test_retries():
     assert not export.HttpWriter("http://127.0.0.1:9", timeout=0.2, retries=0).healthy()
 
 
-def test_sql_is_read_only(spark):
+def test_sql_is_read_only(spark, tmp_path):
     df = spans(spark, {}, {})
     assert one(analytics.query(spark, "-- n\nSELECT count(*) AS n FROM spans", df)).n == 2
-    for text in ("DROP TABLE x", "INSERT INTO spans VALUES (1)", "CREATE TABLE y AS SELECT 1", "/* SELECT */ DELETE FROM spans"):
-        with pytest.raises(ValueError):
+    out = str(tmp_path / "out")
+    for text in (
+        "DROP TABLE x", "INSERT INTO spans VALUES (1)", "CREATE TABLE y AS SELECT 1", "/* SELECT */ DELETE FROM spans", f"FROM spans INSERT OVERWRITE DIRECTORY '{out}' USING parquet SELECT seq",
+        f"WITH x AS (SELECT seq FROM spans) INSERT OVERWRITE DIRECTORY '{out}' USING parquet SELECT * FROM x", "SET a = 1", "CACHE TABLE spans", "ADD JAR 'x'", "TRUNCATE TABLE spans", "CREATE TEMPORARY VIEW v AS SELECT 1",
+        "FROM spans INSERT INTO a SELECT seq INSERT INTO b SELECT seq", "EXECUTE IMMEDIATE 'DROP TABLE x'", "SELECT reflect('java.lang.System', 'lineSeparator')", "USE DEFAULT", "REFRESH TABLE spans",
+    ):
+        with pytest.raises(ValueError, match="only queries"):
             analytics.query(spark, text, df)
+    assert not (tmp_path / "out").exists()
+    for text in ("(SELECT 1) UNION (SELECT 2)", "VALUES (1)", "TABLE spans", "FROM spans SELECT seq", "DESCRIBE spans", "WITH a AS (SELECT 1 AS x) SELECT * FROM a WHERE x IN (SELECT 1)"):
+        analytics.query(spark, text, df).collect()
     assert analytics.text_rows(spark.sql("SELECT 1 AS a, CAST(2.345 AS DOUBLE) AS b, NULL AS c, true AS d, array(1) AS e"))["rows"] == [["1", "2.35", "null", "true", "<list>"]]
 
 
 def test_config(tmp_path):
     p = tmp_path / "c.json"
     p.write_text('{"app": {"num_workers": 8}, "compression": {"enabled": false}}')
-    c = load(p, env={"TSS__APP__NUM_WORKERS": "2", "TSS__SAMPLING__LATENCY_SAMPLE_RATE": "0.5", "OTHER": "x"})
+    c = load(p, env={"TRACEWELL__APP__NUM_WORKERS": "2", "TRACEWELL__SAMPLING__LATENCY_SAMPLE_RATE": "0.5", "OTHER": "x"})
     assert (c.app.num_workers, c.compression.enabled, c.sampling.latency_sample_rate, c.app.max_spans) == (2, False, 0.5, 1_000_000)
     p.write_text('{"sampling": {"sample_errors": true}}')
     with pytest.raises(ValueError):
@@ -197,7 +277,7 @@ def test_otlp(spark):
     (s,) = sources.decode_payload(_payload(service=b"\x18\x05", status=False, parent=b""))
     assert (s["service_name"], s["status_code"], s["parent_span_id"]) == ("unknown-service", 0, None)
     df = spark.createDataFrame([(3, _payload()), (4, b"x"), (5, None)], "n long, value binary")
-    assert [(r.seq, r.parent_span_id) for r in sources.decode_otlp(df, seq_col="n").collect()] == [(3 << 20, "01" * 8)]
+    assert [(r.seq, r.parent_span_id) for r in sources.decode_otlp(df, seq_col="n").collect()] == [(3 << sources.PLACE_BITS, "01" * 8)]
 
 
 def test_sources(spark, tmp_path):
@@ -211,11 +291,25 @@ def test_sources(spark, tmp_path):
     assert sources.read_json(spark, str(tmp_path / "j")).count() == 100
     with pytest.raises(ValueError):
         check_spans(df.drop("duration_ms"))
-    from tracewell.config import Kafka
+    from tracewell.config import Catalog, Kafka
 
+    o = sources.catalog_options(Catalog(name="c", uri="u", endpoint="http://s3", access_key="k"))
+    assert o["spark.sql.catalog.c.uri"] == "u" and o["spark.sql.catalog.c.s3.access-key-id"] == "k" and "spark.sql.catalog.c.token" not in o
     assert sources.kafka_options(Kafka(sasl_mechanism="PLAIN", username="u", password="p"))["kafka.security.protocol"] == "SASL_SSL"
 
 
+def test_message_numbers(spark):
+    """Every partition that is allowed for fits with any offset that is; more than that raises."""
+    df = spark.createDataFrame([(0, 0), (0, (1 << 40) - 1), (31, 7), (32, 5), (63, (1 << 40) - 1)], "partition int, offset long").withColumn("n", sources.message_number(F.col("partition"), F.col("offset")))
+    numbers = [r.n for r in df.collect()]
+    assert numbers == sorted(set(numbers)) and max(numbers) < 1 << 46
+    decoded = sources.decode_otlp(df.select("n", F.lit(_payload()).alias("value")), seq_col="n").collect()
+    assert [r.seq >> sources.PLACE_BITS for r in decoded] == numbers
+    for wrong in ((64, 0), (0, 1 << 40)):
+        with pytest.raises(Exception, match="leaves room"):
+            spark.createDataFrame([wrong], "partition int, offset long").select(sources.message_number(F.col("partition"), F.col("offset"))).collect()
+
+
 def test_token_bucket():
     now = [0.0]
     b = TokenBucket(10, 2, lambda: now[0])
@@ -239,6 +333,41 @@ def test_stream_equals_batch(spark, small, tmp_path):
     assert s.decisions(spark).count() == before
 
 
+def test_staged_spans_shrink(spark, tmp_path):
+    """Only what is undecided is carried on, and a batch that is tried again changes nothing."""
+    s = Sampler(f"file://{tmp_path}/state")
+    s.process(spans(spark, *[{"trace_id": f"t{k}", "timestamp_ms": 100 * k, "status_code": 2} for k in range(40)]), 0)
+    assert s.pending(spark).count() == 40
+    for _ in range(2):
+        s.process(spans(spark, {"trace_id": "n", "timestamp_ms": 100_000_000}), 1)
+        assert [r.trace_id for r in s.pending(spark).collect()] == ["n"] and s.decisions(spark).count() == 40
+    s.process(spans(spark, {"trace_id": "t1", "timestamp_ms": 5000}, {"trace_id": "m", "timestamp_ms": 100_000_100}), 2)
+    assert {r.trace_id for r in s.pending(spark).collect()} == {"n", "m"}
+    assert [r.decision for r in s.decisions(spark).where("trace_id = 't1'").orderBy("batch").collect()] == ["keep", "purge"]
+    assert sorted(p.name for p in (tmp_path / "state/pending").iterdir()) == ["batch=1", "batch=2"]
+
+
+def test_session_stream_ages_and_late_spans(spark, tmp_path):
+    """A trace cut by its age says so, and a span that comes after its trace has closed opens it anew."""
+    out = session_stream(span_stream(spark, str(tmp_path / "in/*"), files_per_trigger=1))
+    q = out.writeStream.format("memory").queryName("aged").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+
+    def feed(name, *rows):
+        spans(spark, *rows).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        q.processAllAvailable()
+
+    try:
+        feed("p1", {"trace_id": "long", "timestamp_ms": 1, "parent_span_id": "x"}, {"trace_id": "long", "timestamp_ms": 3_500_000, "parent_span_id": "x"}, {"trace_id": "idle", "timestamp_ms": 3_400_000, "parent_span_id": "x"})
+        feed("p2", {"trace_id": "z", "timestamp_ms": 3_700_500, "parent_span_id": "x"})
+        feed("p3", {"trace_id": "idle", "timestamp_ms": 3_400_500, "parent_span_id": "x"})
+        feed("p4", {"trace_id": "z", "timestamp_ms": 3_800_000, "parent_span_id": "x"})
+        feed("p5", {"trace_id": "z", "timestamp_ms": 3_800_001, "parent_span_id": "x"})
+        got = sorted((r.trace_id, r.span_count, r.min_timestamp_ms, r.reason) for r in spark.table("aged").collect())
+        assert got == [("idle", 1, 3_400_000, "ready"), ("idle", 1, 3_400_500, "ready"), ("long", 2, 1, "force")]
+    finally:
+        q.stop()
+
+
 def test_session_stream(spark, tmp_path):
     rows = [{"trace_id": "a", "timestamp_ms": 1000}, {"trace_id": "a", "timestamp_ms": 2000, "parent_span_id": "s0", "status_code": 2}, {"trace_id": "b", "parent_span_id": "x", "timestamp_ms": 1500}]
     spans(spark, *rows).coalesce(1).write.parquet(str(tmp_path / "in/p1"))

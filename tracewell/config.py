@@ -58,6 +58,7 @@ class Export:
     batch_size: int = 100
     max_retries: int = 3
     concurrency: int = 10
+    shards: int = 64
 
 
 @dataclass
@@ -69,14 +70,31 @@ class Kafka:
     max_message_bytes: int = 10_000_000
     fetch_wait_ms: int = 100
     max_offsets_per_trigger: int = 10_000
+    max_partitions: int = 64
     sasl_mechanism: str | None = None
     username: str | None = None
     password: str | None = None
     ca_location: str | None = None
 
 
+@dataclass
+class Catalog:
+    """An Iceberg REST catalog, and the object store that its tables lie in."""
+
+    name: str = "lake"
+    uri: str = "http://localhost:8181"
+    warehouse: str = "warehouse"
+    token: str | None = None
+    endpoint: str | None = None
+    region: str | None = None
+    access_key: str | None = None
+    secret_key: str | None = None
+    path_style: bool = True
+
+
 @dataclass
 class Config:
+    catalog: Catalog = field(default_factory=Catalog)
     app: App = field(default_factory=App)
     sampling: Sampling = field(default_factory=Sampling)
     compression: Compression = field(default_factory=Compression)
@@ -100,7 +118,7 @@ def _apply(target: object, values: Mapping, where: str = "") -> None:
             setattr(target, k, v)
 
 
-def load(*paths: str | Path, env: Mapping[str, str] | None = None, prefix: str = "TSS") -> Config:
+def load(*paths: str | Path, env: Mapping[str, str] | None = None, prefix: str = "TRACEWELL") -> Config:
     """Defaults, then JSON files in order (YAML where that library is installed), then environment variables."""
     out = Config()
     for p in map(Path, paths):

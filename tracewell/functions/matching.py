@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Labels of span kinds by code, of this engine and of the wire format.
@@ -30,16 +32,18 @@ def sample_unit(trace_id: Column, salt: str) -> Column:
 def search(pattern: str) -> str | None:
     """pattern for Java's engine with Unicode classes and \\n as the only line end; None if it isn't a regular expression.
 
-    Look-around and back references are refused: they aren't regular.
+    Look-around, atomic groups and back references are refused: they aren't regular. Java's engine, which runs the
+    pattern, is also the judge of all else.
     """
-    if re.search(r"\(\?(=|!|<=|<!)|(?<!\\)\\[1-9]|\(\?P=", pattern):
+    if re.search(r"\(\?(=|!|<=|<!|>)|(?<!\\)(\\\\)*\\([1-9]|k<)|\(\?P=", pattern):
         return None
+    named = re.sub(r"\(\?P<", "(?<", pattern)
+    out = "(?dU)" + re.sub(r"(?<!\\)\$(?=$|\)|\|)", r"\\z", named)
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(out)
+    except (Py4JJavaError, PySparkException):
         return None
-    named = re.sub(r"\(\?P<", "(?<", pattern)
-    return "(?dU)" + re.sub(r"(?<!\\)\$(?=$|\)|\|)", r"\\z", named)
+    return out
 
 
 def matches(column: Column, kind: str, values: Sequence[str], pattern: str | None = None) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,19 +33,39 @@ def service_stats(spans: DataFrame) -> DataFrame:
     return got.orderBy(F.desc("span_count"), "service_name")
 
 
-_QUERY = re.compile(r"^\s*(\(|SELECT|WITH|VALUES|FROM|TABLE|DESCRIBE|DESC|SHOW|EXPLAIN)\b|^\s*\(", re.I)
+#: Commands that only look: names of Spark's plan nodes begin with these.
+_LOOKS = ("Describe", "Show", "Explain")
+#: Functions that run any Java method.
+_REFLECTS = re.compile(r"\b(try_reflect|reflect|java_method)\s*\(", re.I)
+
+
+def _nodes(plan: object) -> Iterator[object]:
+    """All nodes of a parsed plan, those of its WITH clause included."""
+    yield plan
+    for inner in (plan.children(), plan.innerChildren()):
+        for k in range(inner.size()):
+            yield from _nodes(inner.apply(k))
+
+
+def check_read_only(spark: SparkSession, text: str) -> None:
+    """Raise ValueError unless text is a query that changes nothing; it is parsed, and nothing of it is executed."""
+    jvm = spark._jvm
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    writes = [jvm.java.lang.Class.forName(logical + c, True, jvm.java.lang.Thread.currentThread().getContextClassLoader()) for c in ("Command", "ParsedStatement", "InsertIntoDir", "CompoundPlanStatement")]
+    for node in _nodes(plan):
+        kind = node.getClass().getSimpleName()
+        if ("ExecuteImmediate" in kind or any(w.isInstance(node) for w in writes)) and not kind.startswith(_LOOKS):
+            raise ValueError("only queries are accepted")
+    if _REFLECTS.search(text):
+        raise ValueError("only queries are accepted, without calls into Java")
 
 
 def query(spark: SparkSession, text: str, spans: DataFrame, name: str = "spans") -> DataFrame:
-    """A SQL query with spans as a view; statements that change anything are refused."""
-    if not _QUERY.match(re.sub(r"^\s*(--[^\n]*\n|/\*.*?\*/|\s)+", "", text, flags=re.S)):
-        raise ValueError("only queries are accepted")
+    """A SQL query with spans as a view; statements that change anything are refused before anything runs."""
+    check_read_only(spark, text)
     spans.createOrReplaceTempView(name)
-    out = spark.sql(text)
-    plan = out._jdf.queryExecution().logical().getClass().getSimpleName()
-    if "Command" in plan or "Insert" in plan or "Create" in plan:
-        raise ValueError("only queries are accepted")
-    return out
+    return spark.sql(text)
 
 
 def as_text(value: object) -> str:

@@ -32,8 +32,11 @@ def decision(config: Config, policies: Sequence[Policy] | None = None, force: Co
     return F.when(F.col("state") == "active", F.when(kept, "keep").otherwise("pending")).otherwise(done)
 
 
-def decide(spans: DataFrame, now_ms: int, config: Config | None = None, rules: Sequence[Rule] = (), exported: DataFrame | None = None, policies: Sequence[Policy] | None = None) -> DataFrame:
-    """Summaries with state and decision; traces in exported (trace_id) are marked for purging instead."""
+def decide(spans: DataFrame, now_ms: int | Column, config: Config | None = None, rules: Sequence[Rule] = (), exported: DataFrame | None = None, policies: Sequence[Policy] | None = None) -> DataFrame:
+    """Summaries with state and decision; traces in exported (trace_id) are marked for purging instead.
+
+    now_ms is a number, or a column (a subquery) where there are no rules, whose expiry is settled on the driver.
+    """
     config = config or Config()
     if rules and config.rules.enabled:
         traces, force = with_rule_action(spans, rules, now_ms), F.col("force")
@@ -46,6 +49,14 @@ def decide(spans: DataFrame, now_ms: int, config: Config | None = None, rules: S
     return out
 
 
+def totals(decided: DataFrame) -> DataFrame:
+    """One row of counters: traces and spans by what was decided."""
+    n = lambda d: F.count_if(F.col("decision") == d)
+    spans = lambda d: F.coalesce(F.sum(F.when(F.col("decision") == d, F.col("span_count"))), F.lit(0))
+    names = {"sampled": "keep", "dropped": "drop", "pending": "pending", "purged": "purge"}
+    return decided.agg(*[n(d).alias(f"{k}_traces") for k, d in names.items()], *[spans(d).alias(f"{k}_spans") for k, d in names.items()])
+
+
 def unexported(traces: DataFrame, exported: DataFrame, now_ms: int | None = None) -> DataFrame:
     """traces that haven't been exported; entries whose expires_at_ms has passed are forgotten."""
     known = exported if now_ms is None else exported.where(F.col("expires_at_ms") > now_ms)

@@ -58,7 +58,7 @@ def compressed_rows(groups: DataFrame) -> DataFrame:
     )
     tags = {
         "compression.type": F.lit("aggregated"), "compression.count": c("span_count").cast("string"), "compression.total_duration_ms": c("total_duration_ms").cast("string"),
-        "compression.mean_duration_ms": F.format_string("%.2f", "mean_duration_ms"), "compression.min_duration_ms": c("min_duration_ms").cast("string"),
+        "compression.mean_duration_ms": F.bround(c("mean_duration_ms").cast("decimal(38,18)"), 2).cast("string"), "compression.min_duration_ms": c("min_duration_ms").cast("string"),
         "compression.max_duration_ms": c("max_duration_ms").cast("string"), "compression.group_signature": c("group_signature"), "span.type": F.lit("analytics"),
     }
     made = F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), v)])
@@ -85,17 +85,20 @@ def export_rows(spans: DataFrame, c: Compression | None = None) -> DataFrame:
     return compressed_rows(groups).unionByName(plain_rows(residual(spans, groups)))
 
 
-def batches(rows: DataFrame, order: tuple[str, ...] = ("trace_id", "start_ns", "id"), size: int = 100, shards: int = 1) -> DataFrame:
-    """rows with batch_no: chunks of size in the given order. With shards, traces are dealt out and numbered shard by shard."""
-    shard = F.pmod(F.xxhash64("trace_id"), F.lit(shards)).cast("int")
+def batches(rows: DataFrame, order: tuple[str, ...] = ("trace_id", "start_ns", "id"), size: int = 100, shards: int = 64) -> DataFrame:
+    """rows with shard and batch_no: traces are dealt to shards, and each shard is cut into chunks of size in the given order.
+
+    Shards are numbered on their own, so no task sees all rows; their number should grow with the data.
+    """
+    shard = F.pmod(F.conv(F.substring(F.md5("trace_id"), 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
     numbered = rows.withColumn("shard", shard)
     rank = F.row_number().over(W.partitionBy("shard").orderBy(*order))
     return numbered.withColumn("batch_no", F.floor((rank - 1) / F.lit(size)).cast("long"))
 
 
-def to_json(rows: DataFrame) -> DataFrame:
-    """One JSON text per row; null fields are left out."""
-    return rows.select("trace_id", F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in ("shard", "batch_no")])).alias("body"))
+def to_json(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One JSON text per row, along with the columns to keep; null fields are left out."""
+    return rows.select(*keep, "trace_id", F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in ("shard", "batch_no")])).alias("body"))
 
 
 def retried(send: Callable[[], bool], retries: int = 3, base_secs: float = 0.1, sleep: Callable[[float], None] = time.sleep) -> bool:
@@ -109,7 +112,11 @@ def retried(send: Callable[[], bool], retries: int = 3, base_secs: float = 0.1,
 
 
 class HttpWriter:
-    """Posts batches of rows as {"data": [...]}; each partition stops at its first failure."""
+    """Posts each batch (shard and batch_no) of rows as {"data": [...]}; each partition stops at its first failure.
+
+    Rows without batch numbers are cut into batches of size as they come. A batch may arrive twice if a task is tried
+    again; the receiver tells by the spans' ids.
+    """
 
     def __init__(self, endpoint: str, path: str = "/api/v2/spans", health: str = "/api/v1/health", size: int = 100, retries: int = 3, headers: dict | None = None, timeout: float = 10.0):
         self.endpoint, self.path, self.health_path, self.size, self.retries, self.headers, self.timeout = endpoint.rstrip("/"), path, health, size, retries, headers or {}, timeout
@@ -134,24 +141,37 @@ class HttpWriter:
         except (urllib.error.URLError, TimeoutError):
             return False
 
-    def write(self, rows: DataFrame) -> DataFrame:
+    def write(self, rows: DataFrame, number: int | None = None) -> DataFrame:
         """Send all rows; returns trace_id and sent for each."""
+        numbered = {"shard", "batch_no"} <= set(rows.columns)
+        bodies = to_json(rows, keep=("shard", "batch_no") if numbered else ())
+        if numbered:
+            bodies = bodies.repartition("shard").sortWithinPartitions("shard", "batch_no")
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ok = True
+            ok, held, last = True, [], None
+
+            def sent() -> pd.DataFrame:
+                nonlocal ok
+                ok = ok and self.post([body for _, body in held])
+                return pd.DataFrame({"trace_id": [t for t, _ in held], "sent": [ok] * len(held)})
+
             for pdf in parts:
-                done = []
-                for a in range(0, len(pdf), self.size):
-                    chunk = pdf.iloc[a : a + self.size]
-                    ok = ok and self.post(chunk["body"].tolist())
-                    done += [ok] * len(chunk)
-                yield pd.DataFrame({"trace_id": pdf["trace_id"], "sent": done})
+                names = zip(pdf["shard"], pdf["batch_no"], strict=True) if numbered else [None] * len(pdf)
+                for name, trace, body in zip(names, pdf["trace_id"], pdf["body"], strict=True):
+                    if held and (name != last or len(held) >= self.size):
+                        yield sent()
+                        held = []
+                    held.append((trace, body))
+                    last = name
+            if held:
+                yield sent()
 
-        return to_json(rows).mapInPandas(run, "trace_id string, sent boolean")
+        return bodies.mapInPandas(run, "trace_id string, sent boolean")
 
 
 class TableWriter:
-    """Appends rows to a folder in one of Spark's formats."""
+    """Rows in a folder in one of Spark's formats: those of a numbered batch in its own subfolder, once however often it is tried."""
 
     def __init__(self, path: str, kind: str = "parquet"):
         self.path, self.kind = path, kind
@@ -159,9 +179,14 @@ class TableWriter:
     def healthy(self) -> bool:
         return True
 
-    def write(self, rows: DataFrame) -> DataFrame:
-        rows.write.mode("append").format(self.kind).save(self.path)
-        return rows.select("trace_id", F.lit(True).alias("sent"))
+    def write(self, rows: DataFrame, number: int | None = None) -> DataFrame:
+        """Write all rows; returns trace_id and sent for each, of a numbered batch from what was written."""
+        if number is None:
+            rows.write.mode("append").format(self.kind).save(self.path)
+            return rows.select("trace_id", F.lit(True).alias("sent"))
+        path = f"{self.path}/batch={number}"
+        rows.write.mode("overwrite").format(self.kind).save(path)
+        return rows.sparkSession.read.schema(rows.schema).format(self.kind).load(path).select("trace_id", F.lit(True).alias("sent"))
 
 
 def payload(bodies: list[str]) -> str:

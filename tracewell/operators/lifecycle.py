@@ -13,7 +13,12 @@ def latest(spans: DataFrame) -> int:
     return spans.agg(F.max("timestamp_ms")).first()[0] or 0
 
 
-def state(now_ms: int, inactivity_ms: int, root_inactivity_ms: int = 30_000, max_age_ms: int = 3_600_000) -> Column:
+def newest(spans: DataFrame) -> Column:
+    """The same as a subquery of the plan it is used in, so that no job runs beforehand."""
+    return spans.agg(F.coalesce(F.max("timestamp_ms"), F.lit(0))).scalar()
+
+
+def state(now_ms: int | Column, inactivity_ms: int, root_inactivity_ms: int = 30_000, max_age_ms: int = 3_600_000) -> Column:
     """force by age first, else ready by idleness (shorter once a root was seen), else active; all comparisons strict."""
     now = F.lit(now_ms)
     gap = F.when(F.col("root_span_id").isNotNull(), F.lit(root_inactivity_ms)).otherwise(F.lit(inactivity_ms))
@@ -24,12 +29,12 @@ def state(now_ms: int, inactivity_ms: int, root_inactivity_ms: int = 30_000, max
     )
 
 
-def with_state(summary: DataFrame, now_ms: int, app: App | None = None, column: str = "state") -> DataFrame:
+def with_state(summary: DataFrame, now_ms: int | Column, app: App | None = None, column: str = "state") -> DataFrame:
     app = app or App()
     return summary.withColumn(column, state(now_ms, app.trace_inactivity_secs * 1000, app.root_inactivity_secs * 1000, app.max_trace_duration_secs * 1000))
 
 
-def ready_traces(summary: DataFrame, now_ms: int, app: App | None = None) -> DataFrame:
+def ready_traces(summary: DataFrame, now_ms: int | Column, app: App | None = None) -> DataFrame:
     return with_state(summary, now_ms, app).where("state <> 'active'").select("trace_id", "state")
 
 

@@ -6,6 +6,7 @@ Base data: spans projected from the event table. Times are fixed by the data: `n
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from tracewell.config import App, Compression, Config
 from tracewell.functions import matching
 from tracewell.operators import analytics, compress, decide, export, lifecycle, policies, rules, summary
+from tracewell.session import shared_folder
 from tracewell.sources import spans as sources
+from tracewell.streaming.sampler import Sampler, span_stream
 
 #: Times are compressed in the projection; this age exercises the branch for old traces.
 APP = App(max_trace_duration_secs=2000)
@@ -25,7 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-_CTES = "WITH " + sources.EVENT_CTES.replace("@US", "epoch_us(ts)").replace("@K", "json_extract_string(props, '$.k')") + """,
+_CTES = "WITH RECURSIVE " + sources.EVENT_CTES.replace("@US", "epoch_us(ts)").replace("@K", "json_extract_string(props, '$.k')") + """,
 now_ms AS (SELECT max(timestamp_ms) AS now FROM spans),
 summary AS (
   SELECT trace_id, arg_min(service_name, seq) AS service_name, count(*) AS span_count, bool_or(status_code = 2) AS has_error,
@@ -81,8 +84,12 @@ def _now(spark: SparkSession, d: str) -> int:
     return lifecycle.latest(_spans(spark, d))
 
 
+def _newest(spark: SparkSession, d: str):
+    return lifecycle.newest(_spans(spark, d))
+
+
 def _life(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.with_state(_summary(spark, d), _now(spark, d), APP)
+    return lifecycle.with_state(_summary(spark, d), _newest(spark, d), APP)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -94,10 +101,15 @@ def _flat(df: DataFrame) -> DataFrame:
 
 @_add("sampling_decisions", "SELECT trace_id, state, has_error, max_duration_ms, span_count, decision FROM decided")
 def sampling_decisions(spark: SparkSession, d: str) -> DataFrame:
-    out = decide.decide(_spans(spark, d), _now(spark, d), Config(app=APP))
+    out = decide.decide(_spans(spark, d), _newest(spark, d), Config(app=APP))
     return out.select("trace_id", "state", "has_error", "max_duration_ms", "span_count", "decision")
 
 
+@_add("sampling_totals", "SELECT " + ", ".join(f"count(*) FILTER (WHERE decision = '{v}') AS {k}_traces, coalesce(sum(span_count) FILTER (WHERE decision = '{v}'), 0)::BIGINT AS {k}_spans" for k, v in (("sampled", "keep"), ("dropped", "drop"), ("pending", "pending"), ("purged", "purge"))) + " FROM decided")
+def sampling_totals(spark: SparkSession, d: str) -> DataFrame:
+    return decide.totals(decide.decide(_spans(spark, d), _newest(spark, d), Config(app=APP)))
+
+
 _QUERIES_SPAN = "seq, trace_id, span_id, parent_span_id, timestamp_ms, duration_ms, status_code, span_kind, service_name, operation_name"
 
 
@@ -452,9 +464,9 @@ def significant_groups(spark: SparkSession, d: str) -> DataFrame:
     return compress.compress(_spans(spark, d), WIDE).select("span_id", compress.significant(40_000).alias("significant"))
 
 
-@_add("group_percentiles", ", g AS (SELECT trace_id, service_name, operation_type, normalized_statement, parent_span_id, list_sort(list(duration_ms)) AS l, count(*) AS span_count FROM typed WHERE duration_ms <= 60000 GROUP BY ALL) SELECT trace_id, service_name, operation_type, normalized_statement, parent_span_id, span_count, " + ", ".join(f"l[least(span_count, span_count * {p} // 100 + 1)] AS p{p}_ms" for p in (50, 95, 99)) + " FROM g")
+@_add("group_percentiles", ", g AS (SELECT trace_id, service_name, operation_type, normalized_statement, parent_span_id, list_sort(list(duration_ms)) AS l, count(*) AS span_count FROM typed WHERE duration_ms <= 60000 GROUP BY ALL) SELECT trace_id, service_name, operation_type, normalized_statement, parent_span_id, span_count, " + ", ".join(f"l[least(span_count, span_count * {p} // 100 + 1)] AS p{p}_ms" for p in (50, 95, 99)) + ", round(list_stddev_pop(l), 3) AS stddev_ms FROM g")
 def group_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return compress.duration_percentiles(_spans(spark, d)).drop("stddev_ms")
+    return compress.duration_percentiles(_spans(spark, d)).withColumn("stddev_ms", F.round("stddev_ms", 3))
 
 
 # ---- export --------------------------------------------------------------------------------------------------
@@ -462,9 +474,9 @@ def group_percentiles(spark: SparkSession, d: str) -> DataFrame:
 _META = ("span_kind", "service", "trace_id", "span_id", "parent_id", "error_message", "error_type")
 
 
-def _scalars(rows: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+def _scalars(rows: DataFrame, tags: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
     picked = [F.try_element_at("meta", F.lit(t)).alias("meta_" + t.replace(".", "_")) for t in tags]
-    return rows.select("id", "trace_id", "parent_id", "name", "resource", "service", "type", "start_ns", "end_ns", "duration_ns", "error", *picked, F.array_join("child_span_ids", ",").alias("children"))
+    return rows.select("id", "trace_id", "parent_id", "name", "resource", "service", "type", "start_ns", "end_ns", "duration_ns", "error", *picked, *more, F.array_join("child_span_ids", ",").alias("children"))
 
 
 @_add("export_plain", """SELECT span_id AS id, trace_id, parent_span_id AS parent_id, operation_name AS name, operation_name AS resource, service_name AS service, 'custom' AS type,
@@ -475,23 +487,42 @@ def export_plain(spark: SparkSession, d: str) -> DataFrame:
     return _scalars(export.plain_rows(_spans(spark, d)), _META)
 
 
-@_add("export_compressed", """SELECT span_id AS id, trace_id, parent_span_id AS parent_id, operation_name || ' (aggregated)' AS name, normalized_statement AS resource, service_name AS service, 'analytics' AS type,
-  timestamp_ms * 1000000 AS start_ns, last_timestamp_ms * 1000000 AS end_ns, total_duration_ms * 1000000 AS duration_ns, (error_count > 0)::INT AS error, 'aggregated' AS meta_compression_type,
-  span_count::VARCHAR AS meta_compression_count, min_duration_ms::VARCHAR AS meta_compression_min_duration_ms, CASE WHEN error_count > 0 THEN error_count || ' errors out of ' || span_count || ' requests' END AS meta_error_message,
-  original_span_ids AS children FROM groups_wide""")
+_GROUP_META = ("compression.type", "compression.count", "compression.total_duration_ms", "compression.mean_duration_ms", "compression.min_duration_ms", "compression.max_duration_ms", "compression.group_signature",
+               "span.type", "tenant.id", "http.route", "service", "trace_id", "span_id", "parent_id", "error_message", "error_type")
+_GROUP_METRICS = ("sampling_rate", "compression.count", "compression.total_ms", "compression.mean_ms", "compression.errors")
+_PLAIN_COLUMNS = """span_id AS id, trace_id, parent_span_id AS parent_id, operation_name AS name, operation_name AS resource, service_name AS service, 'custom' AS type,
+  timestamp_ms * 1000000 AS start_ns, (timestamp_ms + duration_ms) * 1000000 AS end_ns, duration_ms * 1000000 AS duration_ns, status_code AS error"""
+_GROUP_COLUMNS = """span_id AS id, trace_id, parent_span_id AS parent_id, operation_name || ' (aggregated)' AS name, normalized_statement AS resource, service_name AS service, 'analytics' AS type,
+  timestamp_ms * 1000000 AS start_ns, last_timestamp_ms * 1000000 AS end_ns, total_duration_ms * 1000000 AS duration_ns, (error_count > 0)::INT AS error"""
+
+
+@_add("export_compressed", f"""SELECT {_GROUP_COLUMNS}, 'aggregated' AS meta_compression_type, span_count::VARCHAR AS meta_compression_count, total_duration_ms::VARCHAR AS meta_compression_total_duration_ms,
+  printf('%.2f', mean_duration_ms) AS meta_compression_mean_duration_ms, min_duration_ms::VARCHAR AS meta_compression_min_duration_ms, max_duration_ms::VARCHAR AS meta_compression_max_duration_ms,
+  normalized_statement AS meta_compression_group_signature, 'analytics' AS meta_span_type, (SELECT attr_tenant FROM spans s WHERE s.trace_id = g.trace_id AND s.span_id = g.first_id) AS meta_tenant_id,
+  (SELECT attr_http_route FROM spans s WHERE s.trace_id = g.trace_id AND s.span_id = g.first_id) AS meta_http_route, service_name AS meta_service, trace_id AS meta_trace_id, span_id AS meta_span_id, parent_span_id AS meta_parent_id,
+  CASE WHEN error_count > 0 THEN error_count || ' errors out of ' || span_count || ' requests' END AS meta_error_message, CASE WHEN error_count > 0 THEN 'partial_failure' END AS meta_error_type,
+  1.0::DOUBLE AS metric_sampling_rate, span_count::DOUBLE AS metric_compression_count, total_duration_ms::DOUBLE AS metric_compression_total_ms, mean_duration_ms AS metric_compression_mean_ms, error_count::DOUBLE AS metric_compression_errors,
+  original_span_ids AS children FROM (SELECT *, string_split(original_span_ids, ',')[1] AS first_id FROM groups_wide) g""")
 def export_compressed(spark: SparkSession, d: str) -> DataFrame:
-    return _scalars(export.compressed_rows(compress.compress(_spans(spark, d), WIDE)), ("compression.type", "compression.count", "compression.min_duration_ms", "error_message"))
+    rows = export.compressed_rows(compress.compress(_spans(spark, d), WIDE))
+    for m in _GROUP_METRICS:
+        rows = rows.withColumn("metric_" + m.replace(".", "_"), F.try_element_at("metrics", F.lit(m)))
+    return _scalars(rows, _GROUP_META, tuple("metric_" + m.replace(".", "_") for m in _GROUP_METRICS))
 
 
-@_add("export_rows", "SELECT span_id AS id, trace_id, 'analytics' AS type FROM groups_wide UNION ALL SELECT span_id, trace_id, 'custom' FROM spans ANTI JOIN absorbed USING (trace_id, span_id)")
+@_add("export_rows", f"""SELECT {_GROUP_COLUMNS}, span_count::VARCHAR AS meta_compression_count, NULL AS meta_span_kind, original_span_ids AS children FROM groups_wide
+  UNION ALL SELECT {_PLAIN_COLUMNS}, NULL, CASE span_kind WHEN 1 THEN 'Server' WHEN 2 THEN 'Client' WHEN 3 THEN 'Producer' WHEN 4 THEN 'Consumer' ELSE 'Unspecified' END, '' FROM spans ANTI JOIN absorbed USING (trace_id, span_id)""")
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
-    return export.export_rows(_spans(spark, d), WIDE).select("id", "trace_id", "type")
+    return _scalars(export.export_rows(_spans(spark, d), WIDE), ("compression.count", "span_kind"))
+
+
+_SHARD = "('0x' || substr(md5(trace_id), 1, 8))::BIGINT % 64"
 
 
-@_add("export_batches", "SELECT span_id AS id, trace_id, ((row_number() OVER (ORDER BY trace_id, timestamp_ms, span_id)) - 1) // 100 AS batch_no FROM spans WHERE trace_id IN (SELECT trace_id FROM decided WHERE decision = 'keep')")
+@_add("export_batches", f"SELECT span_id AS id, trace_id, ({_SHARD})::INT AS shard, ((row_number() OVER (PARTITION BY {_SHARD} ORDER BY trace_id, timestamp_ms, span_id)) - 1) // 100 AS batch_no FROM spans WHERE trace_id IN (SELECT trace_id FROM decided WHERE decision = 'keep')")
 def export_batches(spark: SparkSession, d: str) -> DataFrame:
     kept = summary.spans_of(_spans(spark, d), sampling_decisions(spark, d).where("decision = 'keep'"))
-    return export.batches(export.plain_rows(kept)).select("id", "trace_id", "batch_no")
+    return export.batches(export.plain_rows(kept)).select("id", "trace_id", "shard", "batch_no")
 
 
 # ---- reports and SQL -----------------------------------------------------------------------------------------
@@ -514,33 +545,84 @@ def service_stats(spark: SparkSession, d: str) -> DataFrame:
 
 _STATEMENTS = {
     "join": "SELECT a.trace_id, a.span_id, b.span_id AS child_id FROM spans a LEFT JOIN spans b ON b.trace_id = a.trace_id AND b.parent_span_id = a.span_id WHERE a.status_code = 2",
+    "right_join": "SELECT a.span_id AS parent_id, b.span_id FROM spans a RIGHT JOIN spans b ON b.trace_id = a.trace_id AND b.parent_span_id = a.span_id AND a.status_code = 0",
+    "full_join": "SELECT coalesce(a.trace_id, b.trace_id) AS trace_id, a.n AS errors, b.n AS views FROM (SELECT trace_id, count(*) AS n FROM spans WHERE status_code = 2 GROUP BY trace_id) a FULL JOIN (SELECT trace_id, count(*) AS n FROM spans WHERE span_kind = 4 GROUP BY trace_id) b ON a.trace_id = b.trace_id",
+    "range_join": "SELECT a.seq, count(*) AS near FROM spans a JOIN spans b ON a.trace_id = b.trace_id AND b.timestamp_ms BETWEEN a.timestamp_ms AND a.timestamp_ms + 60000 GROUP BY a.seq",
+    "hinted_join": "SELECT /*+ BROADCAST(g) */ s.seq, g.n FROM spans s JOIN (SELECT service_name, count(*) AS n FROM spans GROUP BY service_name) g ON g.service_name = s.service_name",
+    "semi_join": "SELECT seq FROM spans WHERE trace_id IN (SELECT trace_id FROM spans WHERE status_code = 2)",
+    "anti_join": "SELECT seq FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans e WHERE e.trace_id = s.trace_id AND e.status_code = 2)",
     "window": "SELECT seq, rank() OVER (PARTITION BY service_name ORDER BY duration_ms DESC, seq) AS r, lag(duration_ms) OVER (PARTITION BY trace_id ORDER BY seq) AS before, sum(duration_ms) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM spans",
+    "ranking": "SELECT seq, row_number() OVER w AS n, dense_rank() OVER (PARTITION BY service_name ORDER BY status_code) AS d, ntile(4) OVER w AS quarter, first_value(span_id) OVER w AS first_id, lead(seq) OVER w AS after FROM spans WINDOW w AS (PARTITION BY trace_id ORDER BY seq)",
+    "range_frame": "SELECT seq, count(*) OVER (PARTITION BY trace_id ORDER BY timestamp_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS n FROM spans",
     "set_ops": "SELECT service_name, status_code FROM spans WHERE status_code = 2 UNION SELECT service_name, span_kind FROM spans WHERE span_kind = 3 EXCEPT SELECT 'svc-1', 2",
-    "cte": "SELECT n, count(*) AS traces FROM (SELECT trace_id, count(*) AS n FROM spans GROUP BY trace_id HAVING count(*) > 5) t GROUP BY n",
+    "intersect": "SELECT trace_id FROM spans WHERE status_code = 2 INTERSECT SELECT trace_id FROM spans WHERE status_code = 1",
+    "cte": "WITH sized AS (SELECT trace_id, count(*) AS n FROM spans GROUP BY trace_id HAVING count(*) > 5), large AS (SELECT * FROM sized WHERE n > 8) SELECT s.n, count(*) AS traces, count(l.n) AS large FROM sized s LEFT JOIN large l ON l.trace_id = s.trace_id GROUP BY s.n",
+    "recursive": "WITH RECURSIVE steps(k, ms) AS (SELECT 0, CAST(1000 AS BIGINT) UNION ALL SELECT k + 1, ms * 2 FROM steps WHERE k < 8) SELECT k, count(*) AS n FROM steps JOIN spans ON duration_ms >= ms AND duration_ms < ms * 2 GROUP BY k",
+    "values": "SELECT label, count(*) AS n FROM (VALUES (0, 'fine'), (1, 'bought'), (2, 'failed')) AS t(code, label) JOIN spans ON status_code = code GROUP BY label",
     "rollup": "SELECT service_name, status_code, count(*) AS n, max(duration_ms) AS longest FROM spans GROUP BY ROLLUP (service_name, status_code)",
     "cube": "SELECT span_kind, status_code, count(*) AS n FROM spans GROUP BY CUBE (span_kind, status_code)",
+    "grouping_sets": "SELECT service_name, span_kind, grouping(service_name) AS g, count(*) AS n FROM spans GROUP BY GROUPING SETS ((service_name), (span_kind), ())",
+    "filter": "SELECT service_name, count(*) FILTER (WHERE status_code = 2) AS errors, count(DISTINCT trace_id) AS traces, max(duration_ms) FILTER (WHERE span_kind = 4) AS longest FROM spans GROUP BY service_name",
+    "approximate": "SELECT service_name, abs(approx_count_distinct(trace_id) - count(DISTINCT trace_id)) <= 0.25 * count(DISTINCT trace_id) AS near FROM spans GROUP BY service_name",
     "subquery": "SELECT seq FROM spans s WHERE duration_ms > (SELECT avg(duration_ms) FROM spans i WHERE i.service_name = s.service_name) AND EXISTS (SELECT 1 FROM spans e WHERE e.trace_id = s.trace_id AND e.status_code = 2)",
-}
+    "offset": "SELECT seq, duration_ms FROM spans ORDER BY duration_ms DESC, seq LIMIT 25 OFFSET 10",
+    "scalar": "SELECT seq, upper(service_name) AS u, substring(operation_name, 15, 6) AS part, length(operation_name) AS n, replace(trace_id, 'U', 'u') AS t, coalesce(parent_span_id, 'none') AS p, nullif(status_code, 0) AS s, CASE WHEN duration_ms > 1000 THEN 'slow' ELSE 'quick' END AS speed, greatest(duration_ms, 500) AS g, abs(status_code - 1) AS a, concat(service_name, '/', span_id) AS c FROM spans",
+    "ready_traces": "SELECT trace_id, max(timestamp_ms) AS last_ms FROM spans WHERE timestamp_ms > 0 GROUP BY trace_id HAVING (SELECT max(timestamp_ms) FROM spans) - max(timestamp_ms) > 60000",
+}
+#: Where DuckDB needs other words for the same.
+_OTHERWISE = {"window": ("sum(duration_ms) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", "(sum(duration_ms) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT")}
+
+
+def _beside_ctes(text: str) -> str:
+    """A statement after the common CTEs: one that has CTEs of its own goes on with the list."""
+    return ", " + text.removeprefix("WITH ").removeprefix("RECURSIVE ") if text.startswith("WITH ") else text
+
+
 for _name, _text in _STATEMENTS.items():
-    _add(f"sql_{_name}", _text if _name != "window" else _text.replace("sum(duration_ms) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", "(sum(duration_ms) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT"))(
-        lambda spark, d, t=_text: analytics.query(spark, t, _spans(spark, d))
-    )
+    _add(f"sql_{_name}", _beside_ctes(_text.replace(*_OTHERWISE.get(_name, ("\0", "")))))(lambda spark, d, t=_text: analytics.query(spark, t, _spans(spark, d)))
+
+
+@_add("sql_unnest", "SELECT seq, unnest(string_split(operation_name, ' ')) AS word FROM spans")
+def sql_unnest(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.query(spark, "SELECT seq, word FROM spans LATERAL VIEW explode(split(operation_name, ' ')) t AS word", _spans(spark, d))
+
+
+@_add("sql_maps", "SELECT seq, attr_tenant AS tenant, attr_db_system IS NOT NULL AS db, 3 + (attr_db_system IS NOT NULL)::INT AS n FROM spans")
+def sql_maps(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.query(spark, "SELECT seq, attributes['tenant.id'] AS tenant, map_contains_key(attributes, 'db.system') AS db, size(map_keys(attributes)) AS n FROM spans", _spans(spark, d))
+
+
+# ---- streams -------------------------------------------------------------------------------------------------
 
 
-def _finished(spark: SparkSession, d: str) -> DataFrame:
-    """What a drained stream decides, from one micro-batch of all spans."""
-    from tempfile import mkdtemp
-    from uuid import uuid4
+def _stream_files(spark: SparkSession, d: str, parts: int = 3) -> str:
+    """Spans in files of whole traces, so that times go back from file to file; returns a new folder of the shared one."""
+    root = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    part = F.pmod(F.conv(F.substring(F.md5("trace_id"), 1, 4), 16, 10).cast("int"), F.lit(parts))
+    _spans(spark, d).repartition(parts, part).write.parquet(f"{root}/in")
+    return root
 
-    from tracewell.streaming.sampler import Sampler
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{mkdtemp(prefix='tracewell-stream-')}").rstrip("/")
-    sampler = Sampler(f"{root}/stream-{uuid4().hex}", Config(app=APP))
-    sampler.process(_spans(spark, d), 0)
+@_add("stream_decisions", "SELECT trace_id, decision FROM decided WHERE decision <> 'pending'")
+def stream_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What a drained stream decides, a file for each micro-batch."""
+    root = _stream_files(spark, d)
+    sampler = Sampler(f"{root}/state", Config(app=APP))
+    sampler.start(span_stream(spark, f"{root}/in", files_per_trigger=1)).awaitTermination()
     return sampler.decisions(spark).select("trace_id", "decision")
 
 
-_add("stream_decisions", "SELECT trace_id, decision FROM decided WHERE decision <> 'pending'")(_finished)
+@_add("stream_pending", f"SELECT {_QUERIES_SPAN} FROM spans WHERE trace_id IN (SELECT trace_id FROM decided WHERE decision = 'pending')")
+def stream_pending(spark: SparkSession, d: str) -> DataFrame:
+    """What a drained stream still holds: the spans of open traces, and nothing that was decided."""
+    root = _stream_files(spark, d)
+    sampler = Sampler(f"{root}/state", Config(app=APP))
+    sampler.start(span_stream(spark, f"{root}/in", files_per_trigger=1)).awaitTermination()
+    return sampler.pending(spark).select(*_QUERIES_SPAN.split(", "))
 
 
 def queries() -> dict[str, Query]:
