@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracewell.config import Compression
 from tracewell.functions.matching import operation_type, statement
@@ -24,8 +25,12 @@ def eligible(c: Compression) -> Column:
 def with_group_key(spans: DataFrame, c: Compression | None = None, normalised_type: bool = False) -> DataFrame:
     """Eligible spans with operation_type and normalized_statement."""
     c = c or Compression()
+    return _keyed(spans.where(eligible(c)), c, normalised_type)
+
+
+def _keyed(spans: DataFrame, c: Compression, normalised_type: bool = False) -> DataFrame:
     attrs = F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>"))
-    out = spans.where(eligible(c)).withColumn("normalized_statement", statement(F.col("operation_name"), attrs, c.patterns))
+    out = spans.withColumn("normalized_statement", statement(F.col("operation_name"), attrs, c.patterns))
     name = F.col("normalized_statement") if normalised_type else F.col("operation_name")
     return out.withColumn("operation_type", operation_type(name, attrs, F.col("normalized_statement")))
 
@@ -39,9 +44,14 @@ def compressed_id() -> Column:
 def compress(spans: DataFrame, c: Compression | None = None) -> DataFrame:
     """One row per group of at least min_count spans whose starts lie within the window; a group is taken whole or not at all."""
     c = c or Compression()
+    kept = _groups(with_group_key(spans, c)).where((F.col("span_count") >= c.min_count) & (F.col("last_timestamp_ms") - F.col("timestamp_ms") <= c.window_secs * 1000))
+    return kept.withColumn("span_id", compressed_id()).withColumn("group_signature", F.col("normalized_statement"))
+
+
+def _groups(keyed: DataFrame) -> DataFrame:
     error = F.col("status_code") == ERROR
     by_seq = F.array_sort(F.collect_list(F.struct("seq", "span_id")))
-    groups = with_group_key(spans, c).groupBy(*KEY).agg(
+    return keyed.groupBy(*KEY).agg(
         F.min("timestamp_ms").alias("timestamp_ms"),
         F.max("timestamp_ms").alias("last_timestamp_ms"),
         F.sum("duration_ms").alias("total_duration_ms"),
@@ -54,8 +64,26 @@ def compress(spans: DataFrame, c: Compression | None = None) -> DataFrame:
         F.min_by("attributes", "seq").alias("attributes"),
         F.transform(by_seq, lambda x: x["span_id"]).alias("original_span_ids"),
     )
-    kept = groups.where((F.col("span_count") >= c.min_count) & (F.col("last_timestamp_ms") - F.col("timestamp_ms") <= c.window_secs * 1000))
-    return kept.withColumn("span_id", compressed_id()).withColumn("group_signature", F.col("normalized_statement"))
+
+
+def marked(spans: DataFrame, c: Compression | None = None) -> DataFrame:
+    """Spans with their group key, whether they go into a group, and whether a span of that id in the trace does.
+
+    Every key begins with trace_id: where spans are dealt by it already, no further shuffle is needed.
+    """
+    c = c or Compression()
+    keyed = _keyed(spans, c).withColumn("_fits", F.coalesce(eligible(c), F.lit(False)))
+    group = W.partitionBy("trace_id", *KEY[1:], "_fits")
+    close = F.max("timestamp_ms").over(group) - F.min("timestamp_ms").over(group) <= c.window_secs * 1000
+    out = keyed.withColumn("in_group", F.col("_fits") & (F.count(F.lit(1)).over(group) >= c.min_count) & close).drop("_fits")
+    return out.withColumn("absorbed", F.bool_or("in_group").over(W.partitionBy("trace_id", "span_id")))
+
+
+def split(spans: DataFrame, c: Compression | None = None) -> tuple[DataFrame, DataFrame]:
+    """(groups as compress() gives them, spans that no group has absorbed), both from the same marked spans."""
+    m = marked(spans, c)
+    groups = _groups(m.where("in_group")).withColumn("span_id", compressed_id()).withColumn("group_signature", F.col("normalized_statement"))
+    return groups, m.where("NOT absorbed").select(*spans.columns)
 
 
 def residual(spans: DataFrame, compressed: DataFrame) -> DataFrame:

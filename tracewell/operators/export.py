@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewell.functions.matching import kind_label
-from tracewell.operators.compress import compress, residual
+from tracewell.operators.compress import split
 from tracewell.config import Compression
 from tracewell.schema import ERROR
 
@@ -81,8 +81,8 @@ def export_rows(spans: DataFrame, c: Compression | None = None) -> DataFrame:
     c = c or Compression()
     if not c.enabled:
         return plain_rows(spans)
-    groups = compress(spans, c)
-    return compressed_rows(groups).unionByName(plain_rows(residual(spans, groups)))
+    groups, rest = split(spans, c)
+    return compressed_rows(groups).unionByName(plain_rows(rest))
 
 
 def batches(rows: DataFrame, order: tuple[str, ...] = ("trace_id", "start_ns", "id"), size: int = 100, shards: int = 64) -> DataFrame:

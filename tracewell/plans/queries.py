@@ -84,12 +84,9 @@ def _now(spark: SparkSession, d: str) -> int:
     return lifecycle.latest(_spans(spark, d))
 
 
-def _newest(spark: SparkSession, d: str):
-    return lifecycle.newest(_spans(spark, d))
-
-
 def _life(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.with_state(_summary(spark, d), _newest(spark, d), APP)
+    s = _spans(spark, d)
+    return lifecycle.with_state(summary.summarize(s), lifecycle.newest(s), APP)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -101,13 +98,15 @@ def _flat(df: DataFrame) -> DataFrame:
 
 @_add("sampling_decisions", "SELECT trace_id, state, has_error, max_duration_ms, span_count, decision FROM decided")
 def sampling_decisions(spark: SparkSession, d: str) -> DataFrame:
-    out = decide.decide(_spans(spark, d), _newest(spark, d), Config(app=APP))
+    s = _spans(spark, d)
+    out = decide.decide(s, lifecycle.newest(s), Config(app=APP))
     return out.select("trace_id", "state", "has_error", "max_duration_ms", "span_count", "decision")
 
 
 @_add("sampling_totals", "SELECT " + ", ".join(f"count(*) FILTER (WHERE decision = '{v}') AS {k}_traces, coalesce(sum(span_count) FILTER (WHERE decision = '{v}'), 0)::BIGINT AS {k}_spans" for k, v in (("sampled", "keep"), ("dropped", "drop"), ("pending", "pending"), ("purged", "purge"))) + " FROM decided")
 def sampling_totals(spark: SparkSession, d: str) -> DataFrame:
-    return decide.totals(decide.decide(_spans(spark, d), _newest(spark, d), Config(app=APP)))
+    s = _spans(spark, d)
+    return decide.totals(decide.decide(s, lifecycle.newest(s), Config(app=APP)))
 
 
 _QUERIES_SPAN = "seq, trace_id, span_id, parent_span_id, timestamp_ms, duration_ms, status_code, span_kind, service_name, operation_name"
@@ -186,7 +185,8 @@ def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("ready_traces", "SELECT trace_id, state FROM life WHERE state <> 'active'")
 def ready_traces(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.ready_traces(_summary(spark, d), _now(spark, d), APP)
+    s = _spans(spark, d)
+    return lifecycle.ready_traces(summary.summarize(s), lifecycle.newest(s), APP)
 
 
 @_add("ready_traces_columnar", "SELECT trace_id FROM life WHERE now - max_timestamp_ms > 60000 AND trace_id NOT LIKE '%W1'")
@@ -450,6 +450,12 @@ def compressed_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("compression_residual", f"SELECT {_QUERIES_SPAN} FROM spans ANTI JOIN absorbed USING (trace_id, span_id)")
 def compression_residual(spark: SparkSession, d: str) -> DataFrame:
+    _, rest = compress.split(_spans(spark, d), WIDE)
+    return rest.select(*_QUERIES_SPAN.split(", "))
+
+
+@_add("residual_anti_join", f"SELECT {_QUERIES_SPAN} FROM spans ANTI JOIN absorbed USING (trace_id, span_id)")
+def residual_anti_join(spark: SparkSession, d: str) -> DataFrame:
     s = _spans(spark, d)
     return compress.residual(s, compress.compress(s, WIDE)).select(*_QUERIES_SPAN.split(", "))
 

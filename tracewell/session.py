@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Plans are built of many columns; noting the Python line of each doubles the time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
