@@ -259,12 +259,26 @@ def test_warc(spark, odd_dir, tmp_path):
     index = warc.write_archives(warc.plan_records(pages), root, frame_bytes=2000)
     assert index.select("bundle", "frame").distinct().count() > 20
     ((head, block),) = warc.parse_records(warc.read_record(index, root, 123))
-    assert block.decode() == "<p>123</p>" * 24 and head["WARC-Target-URI"] == "u123"
+    assert block.decode() == "<p>123</p>" * 24 and head["WARC-Target-URI"] == "u123" and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"])
+    read = warc.read_archives(index, root)
+    assert read.withColumn("task", F.spark_partition_id()).select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.page_id for r in read.collect()) == list(range(300))
     assert warc.read_record(index, root, -1) is None
     import zstandard
 
     data = next((tmp_path / "w/data").glob("*.zst")).read_bytes()
-    assert len(zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()) > 0
+    records = list(warc.parse_records(zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()))
+    assert [h["WARC-Type"] for h, _ in records].count("warcinfo") == 1 and records[0][0]["WARC-Type"] == "warcinfo" and all("WARC-Date" in h for h, _ in records)
+
+
+def test_warc_long_payloads_and_further_columns(spark, tmp_path):
+    text = "é" * 3_000_000
+    pages = spark.createDataFrame([(1, None, text, "x", 1), (2, "u", text, None, 2), (3, "v", "\r\n\r\nWARC/1.1" * 20, "y", 3)], "page_id long, url string, html string, payload string, payload_digest int")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in warc.op5_warc(spark, str(tmp_path), f"file://{tmp_path}/kept").collect()}
+    assert [(got[k].payload_bytes, got[k].record_type, got[k].refers_to) for k in (1, 2, 3)] == [(6_000_000, "response", None), (6_000_000, "revisit", 1), (240, "response", None)]
+    assert got[1].payload_digest == hashlib.sha256(text.encode()).hexdigest()
+    assert list((tmp_path / "kept/data").glob("*.warc.zst"))
 
 
 def _segments(s):

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op5_warc": warc.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op5_warc": warc.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op9_similarity_join": similarity_join.ORACLE}

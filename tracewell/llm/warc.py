@@ -2,19 +2,25 @@
 
 Records are grouped into independent frames; a skippable frame at the end of each bundle lists the frames'
 compressed and decompressed sizes (the public seekable format), and an index maps each record to its frame and
-its offset within that frame. Equal payloads are stored once: the rest are revisit records.
+its offset within that frame. Equal payloads are stored once: the rest are revisit records. Each bundle begins with a
+warcinfo record, which the index leaves out. Pages carry no time of their own, so WARC-Date is the time of writing.
 
 Bundles are written by tasks into a shared folder through pyarrow's file systems, under names of their attempt:
 the index keeps the rows, and so the names, of the attempts that succeeded. What others left is never read.
 
-Edge cases: a null html is an empty payload; payloads under MIN_REVISIT bytes are always stored; repeated rows
+Archives are the caller's in a folder that the caller names; without one they go when the application ends.
+
+Edge cases: a null html is an empty payload; a null page_id gives a record with an empty id, which is never referred
+to and never a revisit; line ends in a URL are escaped, and a null URL gives no header; payloads under MIN_REVISIT bytes are always stored; repeated rows
 give repeated records; an empty table gives no bundle and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,12 +83,20 @@ def _number(urn: str) -> int | None:
     return int(x) if (x := urn.removeprefix("<urn:page:").removesuffix(">")) else None
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, payload_digest: str, refers_to: int | None) -> bytes:
+def _info(name: str, date: str) -> bytes:
+    """The warcinfo record of a bundle."""
+    block = b"software: tracewell\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _record(date: str, page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, payload_digest: str, refers_to: int | None) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {_urn(page_id)}",
+        f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha256:{payload_digest}",
         f"WARC-Payload-Length: {payload_bytes}",
         "Content-Type: text/html; charset=utf-8",
@@ -111,7 +125,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 class Bundle:
     """One seekable file: frames, then the table of their sizes."""
 
-    def __init__(self, root: str, name: str, frame_bytes: int, level: int):
+    def __init__(self, root: str, name: str, frame_bytes: int, level: int, date: str):
         import zstandard
 
         self.fs, base = filesystem(root)
@@ -120,7 +134,7 @@ class Bundle:
         self.out = self.fs.open_output_stream(self.part, compression=None)
         self.zip = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.frame_bytes, self.at, self.sizes = frame_bytes, 0, []
-        self.buffer, self.pending = bytearray(), []
+        self.buffer, self.pending = bytearray(_info(self.name, date)), []
 
     def add(self, record_id: int, data: bytes) -> list[tuple]:
         self.pending.append((len(self.buffer), len(data), record_id))
@@ -164,6 +178,7 @@ def seek_table(source) -> list[tuple[int, int, int]]:
 
 def write_archives(records: DataFrame, root: str, frame_bytes: int = FRAME_BYTES, level: int = 3) -> DataFrame:
     """Write the rows of plan_records as bundles under root; returns the index, a row per record, itself a table in root."""
+    date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,8 +190,8 @@ def write_archives(records: DataFrame, root: str, frame_bytes: int = FRAME_BYTES
             rows = []
             for r in batch.to_pylist():
                 if bundle is None:
-                    bundle = Bundle(f"{root}/data", f"{name}-{serial:04d}", frame_bytes, level)
-                rows += bundle.add(r["page_id"], _record(**r))
+                    bundle = Bundle(f"{root}/data", f"{name}-{serial:04d}", frame_bytes, level, date)
+                rows += bundle.add(r["page_id"], _record(date, **r))
                 if bundle.at >= BUNDLE_BYTES:
                     rows += bundle.close()
                     bundle, serial = None, serial + 1
@@ -194,7 +209,8 @@ def read_archives(index: DataFrame, root: str) -> DataFrame:
     """Every record of the bundles that index names, frame by frame; intact: the stored payload has its digest."""
     # Rows are few bytes for many that they stand for, so the number of tasks is given, not left to their size.
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frames = index.select("bundle", "frame").distinct().repartition(n, "bundle", "frame")
+    # Dealt by a hash of both: by the columns themselves Spark would take it for done by distinct(), and merge tasks.
+    frames = index.select("bundle", "frame").distinct().repartition(n, F.xxhash64("bundle", "frame"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -212,6 +228,8 @@ def read_archives(index: DataFrame, root: str) -> DataFrame:
                         source.seek(at)
                         rows = []
                         for head, block in parse_records(unzip.decompress(source.read(n), max_output_size=size)):
+                            if head["WARC-Type"] == "warcinfo":
+                                continue
                             digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
                             kind, refers = head["WARC-Type"], head.get("WARC-Refers-To")
                             intact = kind == "revisit" or hashlib.sha256(block).hexdigest() == digest
@@ -236,8 +254,8 @@ def read_record(index: DataFrame, root: str, record_id: int) -> bytes | None:
     return data[row["offset"] : row["offset"] + row["length"]]
 
 
-def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch(spark, "warc")
+def op5_warc(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    root = root or scratch(spark, "warc")
     index = write_archives(plan_records(table(spark, sf_dir, "pages")), root)
     out = read_archives(index, root)
     # A payload that came back changed must fail loudly, not pass as a row.
