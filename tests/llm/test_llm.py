@@ -490,8 +490,10 @@ def _groups(texts, n, percent):
     return [(len(a), root(i)) for i, a in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("n", "percent", "cell"), [(3, 90, 4000), (3, 90, 7), (5, 80, 3)])
-def test_similarity_join(spark, n, percent, cell):
+@pytest.mark.parametrize(("n", "percent", "cell", "crowd"), [(3, 90, 4000, 50_000), (3, 90, 7, 2), (5, 80, 3, 50_000), (5, 80, 30, 1)])
+def test_similarity_join(spark, monkeypatch, n, percent, cell, crowd):
+    if crowd == 2:
+        monkeypatch.setattr(similarity_join, "BUCKETS", 64)
     rng = random.Random(17)
     texts = [None, "", "one", "one two", "One  two"]
     for _ in range(12):
@@ -502,7 +504,7 @@ def test_similarity_join(spark, n, percent, cell):
                 own[rng.randrange(len(own))] = f"w{rng.randint(0, 400)}"
             texts.append(" ".join(own))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.id: (r.n_shingles, r.component_id) for r in similarity_join.link_components(df, n=n, percent=percent, cell=cell).collect()}
+    got = {r.id: (r.n_shingles, r.component_id) for r in similarity_join.link_components(df, n=n, percent=percent, cell=cell, crowd=crowd).collect()}
     assert [got[i] for i in range(len(texts))] == _groups(texts, n, percent)
     kept = {r.doc_id for r in similarity_join.deduplicate(df, n=n, percent=percent).collect()}
     assert kept == {c for _, c in got.values()}

@@ -4,9 +4,10 @@
 2. Classes that can reach the threshold are brought together. Sizes fall into levels whose ends are a factor of
    the threshold apart; linked sets meet in the level of the larger one. There they differ in at most D shingles,
    so of the slices of the hash range all but D are equal in both, and the sum over a slice is a shared key. Of its
-   keys a class uses only the first D + 1 in one order of all keys (prefix filter): by how many keys fall into a
-   key's bucket of BUCKETS, so what common passages share comes last and brings nothing together. Each batch passes
-   on one class of each key, and what ties the others to it.
+   keys a class uses only the D + 1 that fewest classes have (prefix filter), so what common passages share is set
+   aside and brings nothing together. Keys are counted exactly but in crowded buckets of BUCKETS, where the bucket's
+   size takes the place of the count: no task meets a key with more rows than that. Of the keys used, each batch
+   passes on one class of each, and what ties the others to it.
 3. Classes that share keys, directly or in chains, form a block. Within a block a T-occurrence search finds every
    link: inverted lists by shingle, the short ones merged, the long ones (T - 1 at most, so nothing is missed)
    probed by binary search for the candidates that are left, and those reaching the overlap are kept.
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracewell.llm._shared import Workspace, spread_join, staged, table
 from tracewell.llm.bpe import _bounded
@@ -41,8 +43,8 @@ from tracewell.llm.bpe import _bounded
 WORDS, PERCENT = 3, 90
 #: Classes that one task searches at a time, and classes of a larger block that go to each of its tasks.
 CELL, HUBS = 250, 4
-#: Buckets that keys are counted in.
-BUCKETS = 1 << 20
+#: Buckets that keys are first counted in, and rows from which a bucket is crowded (or four times the mean, if that is more).
+BUCKETS, CROWD = 1 << 20, 50_000
 #: Ids up to which a list of them is sent to all tasks.
 ID_ROWS = 1_000_000
 #: Edges a task holds before it sends on the forest they span, and edges that one task settles.
@@ -355,42 +357,24 @@ def links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col:
     return found.unionByName(more).select("u", "v")
 
 
-def _first_keys(sizes: np.ndarray):
-    """Of each class the first keys in the order of their buckets' sizes; what shares one in a batch is tied there.
-
-    Rows (key, id) for one class of each key, and edges (u, v).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sizes.value
-        for batch in batches:
-            found, owner = [], []
-            columns = (batch.column(c).to_pylist() for c in ("id", "n_low", "spare"))
-            ends = batch.column("keys").offsets.to_numpy()
-            flat = batch.column("keys").values.to_numpy()
-            for k, (i, n_low, spare) in enumerate(zip(*columns, strict=True)):
-                for part, more in ((flat[ends[k] : ends[k] + n_low], spare[0]), (flat[ends[k] + n_low : ends[k + 1]], spare[1])):
-                    if more < 0:
-                        part = part[np.lexsort((part, own[part & (BUCKETS - 1)]))[: len(part) + more]]
-                    found.append(part)
-                    owner.append(np.full(len(part), i))
-            key, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, owner))
-            order = np.lexsort((ids, key))
-            key, ids = key[order], ids[order]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            forest = Forest()
-            first = ids[new][np.cumsum(new) - 1] if len(ids) else ids
-            apart = first != ids
-            for a, b in np.unique(np.stack([first[apart], ids[apart]], 1), axis=0).tolist():
-                forest.join(a, b)
-            edges = np.array(forest.edges(), np.int64).reshape(-1, 2)
-            n = int(new.sum())
-            rows = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(edges), pa.int64())]) for x in (key[new], ids[new])]
-            rows += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(edges[:, c])]) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays(rows, names=["key", "id", "u", "v"])
-
-    return run
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id) for one id of each key in a batch, and edges (u, v) that tie the others to it: hot keys stay small."""
+    for batch in batches:
+        key, ids = (batch.column(c).to_numpy() for c in ("key", "id"))
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = ids[new][np.cumsum(new) - 1] if len(ids) else ids
+        apart = first != ids
+        forest = Forest()
+        for x, y in np.unique(np.stack([first[apart], ids[apart]], 1), axis=0).tolist():
+            forest.join(x, y)
+        edges = np.array(forest.edges(), np.int64).reshape(-1, 2)
+        n = int(new.sum())
+        rows = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(edges), pa.int64())]) for x in (key[new], ids[new])]
+        rows += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(edges[:, c])]) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays(rows, names=["key", "id", "u", "v"])
 
 
 def _bucket_sizes(keys: DataFrame) -> np.ndarray:
@@ -411,7 +395,7 @@ def _bucket_sizes(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, cell: int = CELL, crowd: int = CROWD) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id."""
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -424,18 +408,40 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Keys of one row a class: the others are taken out by their ids.
     others = first.where("id <> first_id").select("id", "same").distinct()
     few = others.limit(ID_ROWS + 1).count() <= ID_ROWS
-    one = known.join(F.broadcast(others) if few else others, ["id", "same"], "left_anti").select("id", "n_low", "spare", "keys")
-    order = spark.sparkContext.broadcast(_bucket_sizes(one))
+    one = known.join(F.broadcast(others) if few else others, ["id", "same"], "left_anti")
+    # Keys of crowded buckets come last, by the buckets' sizes; no other key has more rows than a bucket that isn't crowded.
+    load = _bucket_sizes(one)
+    crowded = np.flatnonzero(load > max(crowd, 4 * load.mean()))  # a quarter of the buckets at most
+    # Texts of one id are classes of their own: the nth of an id has levels 2 n and 2 n + 1.
+    several = known.groupBy("id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("id")
+    several = known.select("id", "same").join(several, "id", "left_semi").distinct().withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("same")))
+    several = staged(several, "several")
+    few_several = several.limit(ID_ROWS + 1).count() <= ID_ROWS
+    one = one.join(F.broadcast(several) if few_several else several, ["id", "same"], "left")
+    level = 2 * F.coalesce("nth", F.lit(0)) + (F.col("at") >= F.col("n_low")).cast("int")
+    every_key = one.select("id", "nth", "n_low", "spare", F.posexplode("keys").alias("at", "key")).select("key", "id", level.alias("level"), "spare")
+    every_key = every_key.select("key", "id", "level", F.get("spare", F.col("level") % 2).alias("spare"))
+    # How many classes have a key; those that one class has alone bring nothing together, but count as the rarest.
+    counted = F.count(F.lit(1)).over(W.partitionBy("key"))
+    if len(crowded):
+        sizes = spark.createDataFrame(list(zip(crowded.tolist(), load[crowded].tolist(), strict=True)), "bucket int, size long")
+        bucket = F.col("key").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+        every_key = every_key.withColumn("bucket", bucket).join(F.broadcast(sizes), "bucket", "left").drop("bucket")
+        rare = every_key.where("size IS NULL").drop("size").withColumn("n", counted).where("n > 1")
+        rare = rare.unionByName(every_key.where("size IS NOT NULL").withColumnRenamed("size", "n"))
+    else:
+        rare = every_key.withColumn("n", counted).where("n > 1")
+    # Of each class and level the first D + 1: spare is that number less all of its keys.
+    rare = rare.groupBy("id", "level").agg(F.first("spare").alias("spare"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"))
+    rare = rare.where(F.size("k") + F.col("spare") > 0).select("id", F.explode(F.slice("k", F.lit(1), F.size("k") + F.col("spare"))["key"]).alias("key"))
     work = Workspace(spark)
-    used = work.put(one.mapInArrow(_first_keys(order), "key long, id long, u long, v long"), "keys")
+    used = work.put(rare.mapInArrow(_tied, "key long, id long, u long, v long"), "keys")
     shared = used.where("key IS NOT NULL").select("key", "id").repartition(n_parts, "key").sortWithinPartitions("key", "id").mapInArrow(_chains, "u long, v long")
     shared = shared.unionByName(used.where("key IS NULL").select("u", "v"))
     stars = components(shared, "blocks")
     members = staged(stars.select(F.col("u").alias("id"), F.col("v").alias("block")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("block"))).distinct(), "members")
     work.close()
     # An id with several texts joins all that their copies stand for.
-    several = staged(known.groupBy("id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("id"), "several")
-    few_several = several.limit(ID_ROWS + 1).count() <= ID_ROWS
     bridges = first.where("id <> first_id").join(F.broadcast(several) if few_several else several, "id", "left_semi")
     found = links(docs, members, id_col, text_col, n, percent, cell).unionByName(bridges.select(F.col("id").alias("u"), F.col("first_id").alias("v")))
     joined = components(found, "linked")

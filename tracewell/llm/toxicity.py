@@ -233,7 +233,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     # Drawn by id and text, so that rows of one id aren't all in or out; ids are drawn first, so few labels are joined.
     by_id = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     rate = F.when(F.col("label") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
-    drawn = texts.join(known.where(by_id < 2 * rate), "doc_id")
+    drawn = texts.join(F.broadcast(known.where(by_id < 2 * rate)), "doc_id")  # 4 * max_fit ids at most, about
     by_row = F.pmod(F.xxhash64("doc_id", "text", F.lit("row")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     drawn = drawn.where(by_row < F.greatest(F.lit(0.5), rate)).select(F.xxhash64("text").alias("key"), "label", "text")
     return drawn.dropDuplicates(["key", "label"])
