@@ -118,6 +118,20 @@ def test_bpe_equals_library():
         bpe.LEAF = leaf
 
 
+def test_bpe_digests_equal_library(spark, odd_dir, rows):
+    """The query's columns, over a table of prose and over odd texts."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.default_path())
+    frames = [spark.createDataFrame(list(zip(rows.doc_id.tolist(), rows.text, strict=True)), "doc_id long, text string"), spark.read.parquet(f"{odd_dir}/documents.parquet")]
+    for df in frames:
+        want = []
+        for doc_id, text in (tuple(r) for r in df.select("doc_id", "text").collect()):
+            ids = tok.encode(text or "", add_special_tokens=False).ids
+            want.append((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        assert sorted((tuple(r) for r in bpe.round_trip(df).collect()), key=str) == sorted(want, key=str)
+
+
 def test_bpe_frames(spark, docs):
     coded = bpe.encode(docs)
     back = bpe.decode(coded).join(docs.select("doc_id", F.col("text").alias("was")), "doc_id")
@@ -414,6 +428,42 @@ def test_secrets(spark, rows):
         assert set(filter(None, line.split(","))) <= set(got[i].spans.split(","))
 
 
+def _suspects(t):
+    """Entropy spans from their definition: every window of every candidate is looked at anew."""
+    out, base = [], _secrets(t)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or ""):
+        hit = m.group()
+        if any(a < m.end() and m.start() < b for a, _, b in base) or any(re.search(x, hit) for x in secret_scan.ALLOW):
+            continue
+        left = re.sub(secret_scan.UUID, " ", hit)
+        if re.search(secret_scan.PATH, hit):
+            left = re.sub(secret_scan.SEGMENT, " ", left)
+        for part in left.split(" "):
+            for w in (part[k : k + 20] for k in range(len(part) - 19)):
+                if not re.search("[0-9]", w) or not re.search("[A-Za-z]", w):
+                    continue
+                kind = "base64" if re.search("[+/_=-]", w) else "hex" if not re.search("[g-zG-Z]", w) else "alnum" if re.search("[a-z]", w) and re.search("[A-Z]", w) else "one case"
+                if -sum(n / 20 * math.log2(n / 20) for n in collections.Counter(w).values()) >= secret_scan.LIMITS[kind] - 1e-9:
+                    out.append((m.start(), 3, m.end()))
+                    break
+            else:
+                continue
+            break
+    return out
+
+
+def test_all_spans(spark, rows):
+    """The query's spans against brute force: candidates, classes, limits, allow-list and overlaps together."""
+    rng = random.Random(29)
+    letters = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "0123456789", "aab1"]
+    bits = [lambda: "".join(rng.choices(rng.choice(letters), k=rng.randint(5, 45)))] * 4
+    bits += [lambda: rng.choice(["/v1/keys/", "com/some/path/", "0123abcd-12ab-12ab-12ab-0123456789ab", "EXAMPLE", "xxxx", "1234567", "-", "_", "=", " ", " ", "é", "token=", "AKIA"])] * 3
+    texts = ["".join(rng.choice(bits)() for _ in range(rng.randint(1, 8))) for _ in range(600)] + [None, "", *rows.text]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = [",".join(f"{secret_scan._KINDS[k]}:{a}:{b}" for a, k, b in sorted(_secrets(t) + _suspects(t))) for t in texts]
+    assert [got[i] for i in range(len(texts))] == want and sum("entropy" in w for w in want) > 100
+
+
 def test_entropy(spark):
     def peak(s, w=20):
         h = lambda x: -sum(c / w * math.log2(c / w) for c in collections.Counter(x).values())
@@ -596,6 +646,65 @@ def test_language_scores_by_hand(spark, docs, rows):
         assert got.lang_pred[doc_id] == model.langs[p.argmax()] and math.isclose(got.score[doc_id], p.max(), rel_tol=1e-4), doc_id
 
 
+def _without_leaks(t, items):
+    """t with the spans of hit words cut out until nothing is left to hit."""
+    while True:
+        w = [(m.start(), m.end()) for m in WORD.finditer(_lower(t))]
+        low = [_lower(t[a:b]) for a, b in w]
+        hit = [False] * len(w)
+        for _, item in items:
+            own = WORD.findall(_lower(item or ""))
+            for k in range(max(min(1, len(own)), len(own) - 9)):
+                window = own[k : k + 10]
+                for j in range(len(low) - len(window) + 1):
+                    if low[j : j + len(window)] == window:
+                        hit[j : j + len(window)] = [True] * len(window)
+        if not any(hit):
+            return t
+        out, at, k = [], 0, 0
+        while k < len(w):
+            if hit[k]:
+                out.append(t[at : w[k][0]])
+                while k < len(w) and hit[k]:
+                    at = w[k][1]
+                    k += 1
+            else:
+                k += 1
+        t = "".join(out) + t[at:]
+
+
+def _masked(t):
+    out, at = [], 0
+    for a, _, b in sorted(_secrets(t) + _suspects(t)):
+        if a >= at:
+            out += [t[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + t[at:]
+
+
+def test_pipeline_row_by_row(spark, small, docs, rows):
+    """run() against the stages in plain Python; only the toxicity scores are taken from the fitted model."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    model = toxicity.fit_model(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    score = toxicity.score_documents(docs, model).toPandas().set_index("doc_id").score
+    left = [(i, t) for i, t in sorted(zip(rows.doc_id, rows.text, strict=True)) if score[i] < 0.5]
+    first = {}
+    for (i, t), (_, c) in zip(left, _groups([t for _, t in left], 5, 80), strict=True):
+        first.setdefault(c, (i, t))
+    items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    tok = Tokenizer.from_file(bpe.default_path())
+    want = {}
+    for i, t in first.values():
+        clean = _masked(_without_leaks(t, items))
+        ids = tok.encode(clean, add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in p.run(spark, small).collect()}
+    assert got == want and 100 < len(want) < len(left) <= len(rows)
+
+
 def test_pipeline(spark, small, odd_dir, empty_dir):
     import corpus_pipeline as p
 
