@@ -452,6 +452,14 @@ def _suspects(t):
     return out
 
 
+def test_many_spans_of_one_text(spark):
+    """A text of 60,000 matches: their places come from sums by block, not from appending to all that went before."""
+    text = "é token=abc123 " * 60_000
+    (r,) = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.n_assign == 60_000
+    assert r.spans == ",".join(f"assign:{15 * k + 2}:{15 * k + 14}" for k in range(60_000))
+
+
 def test_all_spans(spark, rows):
     """The query's spans against brute force: candidates, classes, limits, allow-list and overlaps together."""
     rng = random.Random(29)

@@ -39,23 +39,48 @@ PATH = r"^/?(?:[A-Za-z0-9_.-]*[a-z][A-Za-z0-9_.-]*/){2,}+[A-Za-z0-9_.-]*$"
 _PIECE = r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*+|[A-Z]+)?[0-9]{0,8}"
 SEGMENT = rf"(?<![^/]){_PIECE}(?:[-_=]{_PIECE})*+(?![^/])"
 
+#: Entries of a block when lengths are summed up.
+_BLOCK = 128
+
 _KINDS = ("assign", "access", "hex", "entropy")
 _NONE = "CAST(array() AS array<struct<start:int,kind:int,stop:int,hit:string>>)"
 
 
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def _sums_before(a: Column) -> Column:
+    """Of each entry of an array that isn't empty the sum of those before it.
+
+    Sums of blocks come first, so an entry costs a block at most, not the whole array.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / F.lit(_BLOCK)).cast("int")), lambda k: F.slice(a, k * _BLOCK + 1, F.lit(_BLOCK)))
+    both = F.array(F.struct(blocks.alias("blocks"), F.transform(blocks, _total).alias("sums")))
+
+    def spread(x):
+        def within(block, k):
+            start = F.struct(_total(F.slice(x["sums"], F.lit(1), k)).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
+            return F.aggregate(block, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+        return F.flatten(F.transform(x["blocks"], within))
+
+    return F.element_at(F.transform(both, spread), 1)
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Every leftmost non-overlapping match with its place in code points."""
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
-    step = F.zip_with(between, hits, lambda b, h: F.struct(b.alias("b"), h.alias("h")))
+    # A last piece follows the last match: it has no match after it.
+    step = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("b"), h.alias("h")))
+    both = F.array(F.struct(step.alias("step"), _sums_before(F.transform(step, lambda x: x["b"] + F.coalesce(F.length(x["h"]), F.lit(0)))).alias("before")))
 
-    def add(a, x):
-        start = a["at"] + F.length(x["b"])
-        stop = start + F.length(x["h"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["h"].alias("hit"))
-        return F.struct(F.coalesce(stop, a["at"]).alias("at"), F.when(x["h"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(one))).alias("out"))
+    def placed(x, at):
+        start = at + x["b"]
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["h"])).alias("stop"), x["h"].alias("hit"))
 
-    return F.when(text.rlike(pattern), F.aggregate(step, empty, add, lambda a: a["out"])).otherwise(F.expr(_NONE))
+    found = F.element_at(F.transform(both, lambda x: F.filter(F.zip_with(x["step"], x["before"], placed), lambda y: y["hit"].isNotNull())), 1)
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(_NONE))
 
 
 def _weight(n: Column) -> Column:
