@@ -46,6 +46,11 @@ _KINDS = ("assign", "access", "hex", "entropy")
 _NONE = "CAST(array() AS array<struct<start:int,kind:int,stop:int,hit:string>>)"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), value being worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
@@ -55,17 +60,16 @@ def _sums_before(a: Column) -> Column:
 
     Sums of blocks come first, so an entry costs a block at most, not the whole array.
     """
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / F.lit(_BLOCK)).cast("int")), lambda k: F.slice(a, k * _BLOCK + 1, F.lit(_BLOCK)))
-    both = F.array(F.struct(blocks.alias("blocks"), F.transform(blocks, _total).alias("sums")))
 
-    def spread(x):
+    def spread(blocks: Column, sums: Column) -> Column:
         def within(block, k):
-            start = F.struct(_total(F.slice(x["sums"], F.lit(1), k)).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
+            start = F.struct(_total(F.slice(sums, F.lit(1), k)).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
             return F.aggregate(block, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
-        return F.flatten(F.transform(x["blocks"], within))
+        return F.flatten(F.transform(blocks, within))
 
-    return F.element_at(F.transform(both, spread), 1)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / F.lit(_BLOCK)).cast("int")), lambda k: F.slice(a, k * _BLOCK + 1, F.lit(_BLOCK)))
+    return _once(blocks, lambda x: _once(F.transform(x, _total), lambda sums: spread(x, sums)))
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
@@ -73,14 +77,16 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # A last piece follows the last match: it has no match after it.
     step = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("b"), h.alias("h")))
-    both = F.array(F.struct(step.alias("step"), _sums_before(F.transform(step, lambda x: x["b"] + F.coalesce(F.length(x["h"]), F.lit(0)))).alias("before")))
 
     def placed(x, at):
         start = at + x["b"]
         return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["h"])).alias("stop"), x["h"].alias("hit"))
 
-    found = F.element_at(F.transform(both, lambda x: F.filter(F.zip_with(x["step"], x["before"], placed), lambda y: y["hit"].isNotNull())), 1)
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(_NONE))
+    def found(steps: Column) -> Column:
+        before = _once(F.transform(steps, lambda x: x["b"] + F.coalesce(F.length(x["h"]), F.lit(0))), _sums_before)
+        return F.filter(F.zip_with(steps, before, placed), lambda y: y["hit"].isNotNull())
+
+    return F.when(text.rlike(pattern), _once(step, found)).otherwise(F.expr(_NONE))
 
 
 def _weight(n: Column) -> Column:
