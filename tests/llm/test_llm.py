@@ -132,6 +132,36 @@ def test_bpe_digests_equal_library(spark, odd_dir, rows):
         assert sorted((tuple(r) for r in bpe.round_trip(df).collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("part", [40, 3000])
+def test_bpe_parts_in_tasks(spark, odd_dir, part):
+    """Parts of one text encoded in several tasks, joins through special tokens and runs of blanks, repeated rows and null ids."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.default_path())
+    rng = random.Random(11)
+    bits = ["a", "the", " ", "  ", "\n", "'ll", "12", "é", "漢", "😀", "!", "<|endoftext|>", "Don't", " word"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice([5, 300, 4000]))) for _ in range(20)]
+    texts += ["a" * 9000, " " * 7000 + "x", "<|endoftext|>" * 300, texts[3], None, ""]
+    data = [(i, t) for i, t in enumerate(texts)] + [(None, texts[20])] * 2 + [(21, texts[21])] * 2 + [(21, texts[20])]
+    df = spark.createDataFrame(data, "doc_id long, text string").unionByName(spark.read.parquet(f"{odd_dir}/documents.parquet").select("doc_id", "text"))
+    want, want_ids = [], []
+    for doc_id, text in (tuple(r) for r in df.collect()):
+        ids = tok.encode(text or "", add_special_tokens=False).ids
+        want.append((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        want_ids.append((doc_id, ids))
+    got = bpe.round_trip(df, with_ids=True, long_bytes=200, part_chars=part).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got), key=str) == sorted(want, key=str)
+    assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(want_ids, key=str)
+    assert sorted(((r.doc_id, r.ids) for r in bpe.encode(df, long_bytes=200, part_chars=part).collect()), key=str) == sorted(want_ids, key=str)
+
+
+def test_bpe_many_equal_long_rows(spark):
+    """Equal rows over several steps of copies come back whole."""
+    df = spark.range(9001).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three " * 20).alias("text"))
+    got = bpe.round_trip(df, long_bytes=100, part_chars=60)
+    assert got.count() == 9001 and got.distinct().count() == 1
+
+
 def test_bpe_frames(spark, docs):
     coded = bpe.encode(docs)
     back = bpe.decode(coded).join(docs.select("doc_id", F.col("text").alias("was")), "doc_id")

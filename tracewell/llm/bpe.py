@@ -3,7 +3,8 @@
 Short texts: the places where the tokenizer splits are found for a whole batch of texts at once in numpy, equal
 pieces are encoded once, and their ids are gathered. Long texts: tree concatenation. A text is cut into leaves,
 the leaves are encoded side by side, and neighbours are joined pairwise up the tree: a window around each join
-is encoded anew and grown until its outermost tokens agree with both sides.
+is encoded anew and grown until its outermost tokens agree with both sides. The parts of a text over LONG bytes are
+encoded by different tasks, in parallel, and joined by the same tree.
 
 Why agreement makes a join exact: a sequence of tokens is the encoding of its piece if and only if each pair of
 neighbours is the encoding of its own bytes. The pairs left and right of the window are then pairs that one
@@ -24,20 +25,23 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from tracewell.llm._shared import table
 
 #: Characters of a leaf; longer texts are encoded as trees.
 LEAF = 16_384
+#: Bytes from which on a text's parts are encoded in different tasks, and characters of such a part at most.
+LONG, PART = 1 << 20, 1 << 18
 #: Characters next to a join whose tokens prove nothing: more than any special token or contraction has.
 GUARD = 32
 #: Characters of texts that are split in one go; bounds the memory of the arrays.
@@ -242,6 +246,11 @@ class Encoder:
         if plan:
             yield from done()
 
+    def concatenated(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Ids of a text from the ids of its consecutive parts, each encoded on its own."""
+        texts = [self.decode(ids.tolist()) for ids in parts]
+        return self._tree("".join(texts), [0, *accumulate(map(len, texts))], parts)
+
     def _tree(self, text: str, cuts: list[int], parts: list[np.ndarray]) -> np.ndarray:
         """Join neighbours pairwise until one sequence is left."""
         spans = list(zip(cuts, cuts[1:], strict=False))
@@ -305,20 +314,68 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns keep, and ids: an array of the text's token ids."""
-    path = path or default_path()
-    schema = docs.select(*keep).schema.add("ids", ArrayType(IntegerType()))
+def _coded(docs: DataFrame, path: str, keep: tuple[str, ...], digest: Callable[[Encoder, list[np.ndarray]], list[pa.Array]], out: list[StructField], long_bytes: int, part_chars: int) -> DataFrame:
+    """The columns keep, and those that digest makes of the ids of docs' column _text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A text of up to long_bytes is encoded within its row's task. Of a longer one, equal rows are counted first, so
+    that each stands once; its parts are dealt to all tasks and encoded there, and what goes on to the joins is ids,
+    since they hold the text. A group is one text.
+    """
+    fields = [docs.select(*keep).schema[k] for k in keep]
+    schema = StructType([*fields, *out])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in _bounded(batches, "_text"):
+            found = digest(enc, list(enc.encode_texts([t or "" for t in batch.column("_text").to_pylist()])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *found], names=schema.names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                text = row.column("_text")[0].as_py()
+                key = hashlib.sha256(text.encode()).hexdigest()
+                n = -(-len(text) // part_chars)
+                for j in range(n):
+                    piece = text[len(text) * j // n : len(text) * (j + 1) // n]
+                    yield pa.RecordBatch.from_arrays([*(row.column(c) for c in (*keep, "_copies")), pa.array([key]), pa.array([j], pa.int64()), pa.array([piece])], names=[*keep, "_copies", "_key", "_part", "_piece"])
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in _bounded(batches, "_piece"):
+            found = [ids.astype(np.uint32).tobytes() for ids in enc.encode_texts(batch.column("_piece").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "_copies", "_key", "_part")), pa.array(found, pa.binary())], names=[*keep, "_copies", "_key", "_part", "_ids"])
+
+    def joined(group: pa.Table) -> pa.Table:
         enc = encoder(path)
-        for batch in _bounded(batches, text_col):
-            parts = list(enc.encode_texts([t or "" for t in batch.column(text_col).to_pylist()]))
-            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids], names=[*keep, "ids"])
+        group = group.sort_by("_part")
+        found = digest(enc, [enc.concatenated([np.frombuffer(x, np.uint32) for x in group.column("_ids").to_pylist()])])
+        own = group.slice(0, 1).combine_chunks()
+        return pa.Table.from_arrays([*(own.column(c) for c in (*keep, "_copies")), *found], names=[*keep, "_copies", *schema.names[len(keep) :]])
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    is_long = F.coalesce(F.octet_length("_text"), F.lit(0)) > long_bytes
+    copies = StructField("_copies", LongType())
+    marks = [*fields, copies, StructField("_key", StringType()), StructField("_part", LongType())]
+    distinct = docs.where(is_long).groupBy(*keep, "_text").agg(F.count(F.lit(1)).alias("_copies"))
+    parts = distinct.mapInArrow(cut, StructType([*marks, StructField("_piece", StringType())])).repartition("_key", "_part")
+    ids = parts.mapInArrow(leaves, StructType([*marks, StructField("_ids", BinaryType())]))
+    far = ids.groupBy(*keep, "_key").applyInArrow(joined, StructType([*fields, copies, *out]))
+    # Equal rows come back in two steps, so that no row holds a long list.
+    far = far.withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_copies"), F.lit(4096))))
+    far = far.withColumn("_from", F.explode(F.sequence("_from", F.least(F.col("_copies"), F.col("_from") + 4095))))
+    return docs.where(~is_long).mapInArrow(near, schema).unionByName(far.select(*schema.names))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32)))
+
+
+def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", long_bytes: int = LONG, part_chars: int = PART) -> DataFrame:
+    """The columns keep (of types that Spark can group by), and ids: an array of the text's token ids."""
+    docs = docs.select(*keep, F.col(text_col).alias("_text"))
+    return _coded(docs, path or default_path(), keep, lambda _, parts: [_lists(parts)], [StructField("ids", ArrayType(IntegerType()))], long_bytes, part_chars)
 
 
 def decode(tokens: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
@@ -347,31 +404,21 @@ def _bounded(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 4 *
             yield batch.slice(a, b - a)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, long_bytes: int = LONG, part_chars: int = PART) -> DataFrame:
     """Encode each text, decode the ids, and return digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
-    path = path or default_path()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if with_ids:
-        schema = schema.add("ids", ArrayType(IntegerType()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in _bounded(batches, "text"):
-            n, coded, plain, every = [], [], [], []
-            for ids in enc.encode_texts([t or "" for t in batch.column("text").to_pylist()]):
-                listed = ids.tolist()
-                every += [ids] * with_ids
-                n.append(len(listed))
-                coded.append(hashlib.sha256(b",".join(map(enc.decimals.__getitem__, listed))).hexdigest())
-                plain.append(hashlib.sha256(enc.decode(listed).encode()).hexdigest())
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
-            if with_ids:
-                ends = np.cumsum([0, *n]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(every).astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    out = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+
+    def digest(enc: Encoder, parts: list[np.ndarray]) -> list[pa.Array]:
+        n, coded, plain = [], [], []
+        for ids in parts:
+            listed = ids.tolist()
+            n.append(len(listed))
+            coded.append(hashlib.sha256(b",".join(map(enc.decimals.__getitem__, listed))).hexdigest())
+            plain.append(hashlib.sha256(enc.decode(listed).encode()).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string()), *([_lists(parts)] if with_ids else [])]
+
+    return _coded(docs, path or default_path(), ("doc_id",), digest, [*out, *([StructField("ids", ArrayType(IntegerType()))] if with_ids else [])], long_bytes, part_chars)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
