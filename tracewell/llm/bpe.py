@@ -45,9 +45,9 @@ LONG, PART = 1 << 20, 1 << 18
 #: Characters next to a join whose tokens prove nothing: more than any special token or contraction has.
 GUARD = 32
 #: Characters of texts that are split in one go; bounds the memory of the arrays.
-BLOCK = 2_000_000
+BLOCK = 500_000
 #: Distinct pieces whose ids are remembered within a worker.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = 0, 1, 2, 3, 255
 _CONTRACTED = {"s": 1, "t": 1, "m": 1, "d": 1, "re": 2, "ve": 2, "ll": 2}
@@ -326,7 +326,7 @@ def _coded(docs: DataFrame, path: str, keep: tuple[str, ...], digest: Callable[[
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in _bounded(batches, "_text"):
+        for batch in _bounded(batches, "_text", 4 * BLOCK):
             found = digest(enc, list(enc.encode_texts([t or "" for t in batch.column("_text").to_pylist()])))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *found], names=schema.names)
 
@@ -343,7 +343,7 @@ def _coded(docs: DataFrame, path: str, keep: tuple[str, ...], digest: Callable[[
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in _bounded(batches, "_piece"):
+        for batch in _bounded(batches, "_piece", 4 * BLOCK):
             found = [ids.astype(np.uint32).tobytes() for ids in enc.encode_texts(batch.column("_piece").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "_copies", "_key", "_part")), pa.array(found, pa.binary())], names=[*keep, "_copies", "_key", "_part", "_ids"])
 
@@ -392,7 +392,7 @@ def decode(tokens: DataFrame, path: str | None = None, keep: tuple[str, ...] = (
     return tokens.select(*keep, ids_col).mapInArrow(run, schema)
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+def _bounded(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about limit bytes of text; no row is cut or left out."""
     for batch in batches:
         if not batch.num_rows:

@@ -35,7 +35,7 @@ from tracewell.llm.bpe import _bounded
 #: Labelled rows of each class, and characters of them, that the model is fitted on at most, about; drawn by hash.
 MAX_FIT, FIT_CHARS = 3000, 32_000_000
 #: Tasks that the sample is dealt to.
-FIT_TASKS = 8
+FIT_TASKS = 32
 #: Weight of the prior in pseudo-words.
 PRIOR = 50.0
 #: Log-likelihood ratio from which a feature counts, before the share for the number of features tried.
@@ -109,7 +109,7 @@ class Model:
     def word_score(self, word: str) -> float:
         s = self._memo.get(word)
         if s is None:
-            if len(self._memo) > 500_000:
+            if len(self._memo) > 100_000:
                 self._memo.clear()
             get = self.weights.get
             s = self._memo[word] = max((get(f, -DRIFT) for f in _features(word)), default=-DRIFT)
@@ -250,7 +250,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         """What run makes of the sample's (key, label, words); the sample is bounded, and so is this."""
 
         def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            each = ((k, y, tokens(t)) for b in _bounded(found, "text", 8_000_000) for k, y, t in zip(*(b.column(c).to_pylist() for c in ("key", "label", "text")), strict=True))
+            each = ((k, y, tokens(t)) for b in _bounded(found, "text", 2_000_000) for k, y, t in zip(*(b.column(c).to_pylist() for c in ("key", "label", "text")), strict=True))
             out = list(run(each))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
@@ -320,7 +320,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in _bounded(batches, text_col, 8_000_000):
+        for batch in _bounded(batches, text_col, 2_000_000):
             scores = [own.score(tokens(t.as_py())) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out_col])
 
