@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from tracewell.llm._shared import table
+from tracewell.llm._shared import lean, table
 
 #: Characters of a leaf; longer texts are encoded as trees.
 LEAF = 16_384
@@ -358,13 +358,13 @@ def _coded(docs: DataFrame, path: str, keep: tuple[str, ...], digest: Callable[[
     copies = StructField("_copies", LongType())
     marks = [*fields, copies, StructField("_key", StringType()), StructField("_part", LongType())]
     distinct = docs.where(is_long).groupBy(*keep, "_text").agg(F.count(F.lit(1)).alias("_copies"))
-    parts = distinct.mapInArrow(cut, StructType([*marks, StructField("_piece", StringType())])).repartition("_key", "_part")
-    ids = parts.mapInArrow(leaves, StructType([*marks, StructField("_ids", BinaryType())]))
+    parts = distinct.mapInArrow(lean(cut), StructType([*marks, StructField("_piece", StringType())])).repartition("_key", "_part")
+    ids = parts.mapInArrow(lean(leaves), StructType([*marks, StructField("_ids", BinaryType())]))
     far = ids.groupBy(*keep, "_key").applyInArrow(joined, StructType([*fields, copies, *out]))
     # Equal rows come back in two steps, so that no row holds a long list.
     far = far.withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_copies"), F.lit(4096))))
     far = far.withColumn("_from", F.explode(F.sequence("_from", F.least(F.col("_copies"), F.col("_from") + 4095))))
-    return docs.where(~is_long).mapInArrow(near, schema).unionByName(far.select(*schema.names))
+    return docs.where(~is_long).mapInArrow(lean(near), schema).unionByName(far.select(*schema.names))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -389,7 +389,7 @@ def decode(tokens: DataFrame, path: str | None = None, keep: tuple[str, ...] = (
             texts = [enc.decode(x or []) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return tokens.select(*keep, ids_col).mapInArrow(run, schema)
+    return tokens.select(*keep, ids_col).mapInArrow(lean(run), schema)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:

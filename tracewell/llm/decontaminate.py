@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import filesystem, scratch, table
+from tracewell.llm._shared import filesystem, lean, scratch, table
 
 #: Consecutive words of a window.
 WINDOW = 10
@@ -220,7 +220,7 @@ def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
             yield written()
 
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
-    return sorted(r["path"] for r in items.mapInArrow(run, "path string").collect())  # a path for each block
+    return sorted(r["path"] for r in items.mapInArrow(lean(run), "path string").collect())  # a path for each block
 
 
 @lru_cache(maxsize=1)
@@ -268,7 +268,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             columns = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in n_hit], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _without(text: str, hit: np.ndarray) -> str:
@@ -301,7 +301,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             at = batch.schema.get_field_index(text_col)
             yield batch.set_column(at, text_col, pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 #: The same rows by SQL: words, windows of either side, and the words that occurrences cover.

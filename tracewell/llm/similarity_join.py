@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewell.llm._shared import Workspace, spread_join, staged, table
+from tracewell.llm._shared import Workspace, lean, release, spread_join, staged, table
 from tracewell.llm.bpe import _bounded
 
 #: Words of a shingle and the threshold in percent.
@@ -190,7 +190,7 @@ def components(edges: DataFrame, label: str = "components", few: int = HELD_EDGE
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = staged(now, label), None
     if now.limit(few + 1).count() <= few:
-        return staged(now.repartition(1).mapInArrow(_forest, "u long, v long"), label)
+        return staged(now.repartition(1).mapInArrow(lean(_forest), "u long, v long"), label)
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
@@ -296,7 +296,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
             rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), rows, pa.array(lows, pa.int32()), pa.array(spare, pa.list_(pa.int32()))], names=["id", "n_shingles", "same", "keys", "n_low", "spare"])
 
-    return staged(docs.mapInArrow(run, "id long, n_shingles long, same binary, keys array<long>, n_low int, spare array<int>"), "classes")
+    return staged(docs.mapInArrow(lean(run), "id long, n_shingles long, same binary, keys array<long>, n_low int, spare array<int>"), "classes")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -313,7 +313,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(data, pa.binary())], names=[*keep, "data"])
 
     found = found.select(*keep, "text")
-    return found.mapInArrow(sets, _schema(found.drop("text"), ("data", "binary")))
+    return found.mapInArrow(lean(sets), _schema(found.drop("text"), ("data", "binary")))
 
 
 def _search_cells(cells: DataFrame, percent: int, sided: bool) -> DataFrame:
@@ -325,6 +325,9 @@ def _search_cells(cells: DataFrame, percent: int, sided: bool) -> DataFrame:
         rows.sort(key=lambda r: (r["id"], r["side"], r["data"]))
         sides = np.array([r["side"] for r in rows]) if sided else None
         found = _edge_batch(search([r["id"] for r in rows], [np.frombuffer(r["data"], np.uint64) for r in rows], percent, sides))
+        if part.nbytes > 1 << 20:
+            del rows
+            release()
         return pa.Table.from_batches([found]).append_column("big", pa.array([part.column("big")[0].as_py()] * found.num_rows, pa.bool_()))
 
     return cells.groupBy("block", "i", "j").applyInArrow(run, "u long, v long, big boolean")
@@ -389,7 +392,7 @@ def _bucket_sizes(keys: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bucket", "n"])
 
-    got = keys.select("keys").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = keys.select("keys").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -435,8 +438,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = rare.groupBy("id", "level").agg(F.first("spare").alias("spare"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"))
     rare = rare.where(F.size("k") + F.col("spare") > 0).select("id", F.explode(F.slice("k", F.lit(1), F.size("k") + F.col("spare"))["key"]).alias("key"))
     work = Workspace(spark)
-    used = work.put(rare.mapInArrow(_tied, "key long, id long, u long, v long"), "keys")
-    shared = used.where("key IS NOT NULL").select("key", "id").repartition(n_parts, "key").sortWithinPartitions("key", "id").mapInArrow(_chains, "u long, v long")
+    used = work.put(rare.mapInArrow(lean(_tied), "key long, id long, u long, v long"), "keys")
+    shared = used.where("key IS NOT NULL").select("key", "id").repartition(n_parts, "key").sortWithinPartitions("key", "id").mapInArrow(lean(_chains), "u long, v long")
     shared = shared.unionByName(used.where("key IS NULL").select("u", "v"))
     stars = components(shared, "blocks")
     members = staged(stars.select(F.col("u").alias("id"), F.col("v").alias("block")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("block"))).distinct(), "members")

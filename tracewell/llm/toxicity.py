@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import Workspace, table
+from tracewell.llm._shared import Workspace, lean, table
 from tracewell.llm.bpe import _bounded
 
 #: Labelled rows of each class, and characters of them, that the model is fitted on at most, about; drawn by hash.
@@ -255,7 +255,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
-        return sample.select("key", "label", "text").mapInArrow(batches, schema)
+        return sample.select("key", "label", "text").mapInArrow(lean(batches), schema)
 
     found = rows_of(lambda docs: ((k, y, _sketch(w)) for k, y, w in docs), "key long, label long, sketch array<bigint>")
     found = [(r["key"], r["label"], r["sketch"]) for r in found.collect()]
@@ -324,7 +324,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_c
             scores = [own.score(tokens(t.as_py())) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
